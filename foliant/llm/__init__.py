@@ -7,6 +7,8 @@ from importlib import import_module
 #: Modules with QUERIES (name -> (spark, sf_dir) -> DataFrame) and ORACLES (name -> DuckDB SQL).
 MODULES = [
     "quality_rules",
+    "token_files",
+    "simhash",
 ]
 
 
