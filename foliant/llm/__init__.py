@@ -9,6 +9,8 @@ MODULES = [
     "quality_rules",
     "token_files",
     "simhash",
+    "language_id",
+    "toxicity",
 ]
 
 

@@ -10,6 +10,10 @@ import pyarrow as pa
 #: ASCII white space that separates words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but digits and a-z: what separates words once A-Z is lower-cased.
+NO_WORD = np.zeros(256, dtype=bool)
+NO_WORD[:0x80] = True
+NO_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -81,13 +85,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of the bytes of each word: a polynomial by prefix sums, then mixed with the length."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_RANDOM[data] * up[: len(data)], out=sums[1:], dtype=np.uint64)
     h = (sums[ends] - sums[starts]) * down[starts]
     return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def by_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by text number, for n texts."""
-    return np.bincount(text, weights=values, minlength=n)
+def text_groups(column: pa.Array | pa.ChunkedArray, most: int = 2 << 20):
+    """(first, last + 1, bytes, offsets) of runs of whole texts of about ``most`` bytes; null is empty."""
+    data, offsets = flat(column)
+    for first, last in groups_of(offsets, most):
+        yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
