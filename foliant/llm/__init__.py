@@ -11,6 +11,7 @@ MODULES = [
     "simhash",
     "language_id",
     "toxicity",
+    "decontamination",
 ]
 
 
