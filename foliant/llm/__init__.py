@@ -12,6 +12,7 @@ MODULES = [
     "language_id",
     "toxicity",
     "decontamination",
+    "lm_scoring",
 ]
 
 

@@ -50,3 +50,52 @@ def planes(values: np.ndarray) -> bytes:
 
 def from_planes(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+TEXTS = "segment long, doc_ids array<long>, sizes binary, data binary"
+
+
+def text_segments(docs, most: int, key: str = "doc_id", text: str = "text"):
+    """Stored table of segments with their texts: doc_ids, sizes in bytes (64-bit words) and the bytes."""
+    from pyspark.sql import functions as F
+
+    from foliant.llm._tables import stored
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment, ids, data, offsets in segments_of(batches, most):
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([segment]), lists, pa.array([np.diff(offsets).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["segment", "doc_ids", "sizes", "data"])
+
+    return stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, TEXTS), "segments")
+
+
+def opened(row: dict) -> tuple[list, np.ndarray, np.ndarray]:
+    """doc_ids, bytes and offsets of a row of ``text_segments``."""
+    return row["doc_ids"], np.frombuffer(row["data"], np.uint8), np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int64))])
+
+
+def packed(sorted_words: np.ndarray) -> bytes:
+    """Ascending 64-bit words as differences, byte planes apart, shortened."""
+    import zstandard
+
+    gaps = np.diff(sorted_words, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    gaps = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+def packed_counts(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.compress(planes(values), 1)
+
+
+def unpacked_counts(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    return from_planes(zstandard.decompress(raw))
