@@ -9,13 +9,12 @@ is ``dictionary`` or ``delta`` (DELTA_BINARY_PACKED pages of the format's second
 Results for odd rows: a null or empty text is the end id alone. Rows that share a doc_id are written one by
 one, ordered by text. A null doc_id sorts first. An empty table gives no rows. Other columns are not read.
 
-Words are encoded once for each worker: the vocabulary's pre-tokenizer never joins characters across ASCII
-white space, so a text's ids are its words' ids end to end. The memo of words is emptied at ``MEMO`` entries.
+Distinct pieces are encoded once for each worker: the vocabulary's pre-tokenizer never joins characters across
+ASCII white space, so a text's ids are its pieces' ids end to end.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from foliant.llm._bytes import LOWER, SPACE, text_groups, word_hashes, word_spans
 from foliant.llm._tables import documents, new_path, partitions_for
 
 END_ID = 1
 PART_BYTES = 24 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-MEMO = 400_000
+MEMO = 1_000_000
 
 SCHEMA = T.StructType(
     [
@@ -54,62 +54,137 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Ids of a text, as little-endian 32-bit words, by way of a memo of its words."""
+#: Classes of bytes within white-space-separated words, once lower-cased.
+_BLANK, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_CLASS = np.full(256, _ODD, dtype=np.uint8)
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x61:0x7B] = _LETTER
+_CLASS[SPACE] = _BLANK
+_CLASS[0x27] = _ODD  # the vocabulary's pattern treats some endings behind an apostrophe as pieces
+GROUP_BYTES = 4 << 20
 
-    _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    _PLAIN = re.compile(r"[!-~]+").fullmatch
+
+class PieceEncoder:
+    """Ids of many texts at once.
+
+    White space ends a piece, and within words of printable ASCII and Latin-1 letters so does each change
+    between letters, digits and marks; these pieces are cut in numpy. Every other word is one piece here. The
+    library encodes each distinct piece once (runs of letters many in one call); a memo by the pieces'
+    64-bit hashes, emptied at ``MEMO`` entries, holds its ids. Two of n pieces share a hash with odds n^2 / 2^65."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def word(self, raw: bytes) -> bytes:
-        """A word of printable ASCII is cut and lower-cased here; the library's own steps do it for others."""
-        model, word = self.tokenizer.model, raw.decode()
-        if "<|" in word:  # may hold one of the special tokens
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        else:
-            if self._PLAIN(word):
-                pieces = self._PIECES.findall(word.lower())
+        vocabulary = self.tokenizer.get_vocab()
+        self.stop = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.stop[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """hashes: of known pieces, ascending; their ids are pool[start : start + size]."""
+        self.hashes, self.start, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _encoded(self, pieces: list[bytes], runs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and how many each has; the first ``runs`` pieces are runs of letters,
+        whose last token says so."""
+        ids, sizes = [], []
+        for first in range(0, runs, 10_000):
+            some = pieces[first : min(runs, first + 10_000)]
+            got = self._library(b" ".join(some).decode())
+            stops = np.flatnonzero(self.stop[got]) + 1
+            if len(stops) == len(some) and stops[-1] == len(got):
+                ids.append(got)
+                sizes.append(np.diff(stops, prepend=0))
             else:
-                pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
-            ids = [t.id for p in pieces for t in model.tokenize(p)]
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        memo, words = self.memo, text.split()
-        for w in set(words).difference(memo):
-            memo[w] = self.word(w)
-        out = b"".join(map(memo.__getitem__, words))
-        if len(memo) > MEMO:
-            memo.clear()
-        return out
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+                break
+        for x in pieces[sum(map(len, sizes)) :]:
+            ids.append(self._library(x.decode("utf-8", "replace")))
+            sizes.append(np.array([len(ids[-1])]))
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def _cut(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes; starts, ends, text numbers and first classes of all pieces."""
+        data = LOWER[raw]
+        kind = _CLASS[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = data[lead + 1]
+        upper = (after >= 0x80) & (after <= 0x9E) & (after != 0x97)
+        data[lead[upper] + 1] += 32
+        letter = (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)
+        kind[lead[letter]] = kind[lead[letter] + 1] = _LETTER
+        kind[np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))] = _ODD  # may begin a special token
+        starts, ends, text = word_spans(data, offsets)
+        # words with an odd byte stay whole, as they came
+        odd = np.concatenate([[0], np.cumsum(kind == _ODD)])
+        whole = odd[ends] > odd[starts]
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        np.add.at(inside, starts[whole], 1)
+        np.add.at(inside, ends[whole], -1)
+        inside = np.cumsum(inside[:-1]) > 0
+        data[inside] = raw[inside]
+        kind[inside] = _ODD
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[1:-1] = (kind[1:] != kind[:-1]) | ((kind[1:] == _DIGIT) & (kind[:-1] == _DIGIT))
+        cut[starts] = True
+        cut[:-1] &= kind != _BLANK
+        begin = np.flatnonzero(cut[:-1])
+        owner = np.searchsorted(starts, begin, "right") - 1
+        stop = np.minimum(np.append(begin[1:], len(data)), ends[owner]) if len(begin) else begin
+        return data, begin, stop, text[owner], kind[begin]
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids end to end, each text's followed by end_id; and the number of ids of each text."""
+        n = len(offsets) - 1
+        if len(self.hashes) > MEMO:
+            self.forget()
+        data, begin, stop, text, kind = self._cut(raw, offsets) if len(raw) > 1 else self._cut(np.append(raw, [0x20, 0x20]).astype(np.uint8), offsets)
+        h = word_hashes(data, begin, stop) ^ (kind == _ODD).astype(np.uint64)
+        unique, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
+        new = np.flatnonzero(self.hashes[at] != unique) if len(self.hashes) else np.arange(len(unique))
+        if len(new):
+            letters = kind[first[new]] == _LETTER
+            new = np.concatenate([new[letters], new[~letters]])
+            whole, own = data.tobytes(), first[new]
+            ids, size = self._encoded([whole[a:b] for a, b in zip(begin[own].tolist(), stop[own].tolist(), strict=True)], int(letters.sum()))
+            hashes = np.concatenate([self.hashes, unique[new]])
+            start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.start, self.size, self.pool = hashes[order], start[order], np.concatenate([self.size, size])[order], np.concatenate([self.pool, ids])
+            at = np.searchsorted(self.hashes, unique)
+        size, start = self.size[at][back], self.start[at][back]
+        before = np.cumsum(size) - size
+        total = int(size.sum())
+        out = np.full(total + n, end_id, dtype="<u4")
+        spot = np.arange(total)
+        out[spot + np.repeat(text, size)] = self.pool[spot + np.repeat(start - before, size)]
+        return out, np.bincount(text, weights=size, minlength=n).astype(np.int64) + 1
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
     """One encoder for each worker process and vocabulary."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 
 
 def _encoding_task(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, at, end = encoder(path), 0, np.array([end_id], dtype="<u4").tobytes()
+        enc, at = encoder(path), 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for first in range(0, len(texts), 256):
-                rows = [enc.encode(x or b"") + end for x in texts[first : first + 256].to_pylist()]
-                sizes = np.array([len(x) // 4 for x in rows], dtype=np.int64)
+            for first, last, data, offsets in text_groups(batch.column(1), GROUP_BYTES):
+                out, sizes = enc.encode(data, offsets, end_id)
                 ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + 256], pa.array(ends - sizes + at), pa.array(sizes), ids], names=["doc_id", "start_in_part", "n_tokens", "ids"])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(ends - sizes + at), pa.array(sizes), ids], names=["doc_id", "start_in_part", "n_tokens", "ids"])
                 at += int(ends[-1])
 
     return run

@@ -36,8 +36,15 @@ def test_round_trip(spark, docs, rows, plain, encoding):
 
 def test_odd_words(plain):
     enc = token_files.encoder(token_files.default_vocabulary())
-    for text in ["", "don't STOP'LL 1234 a.b!!c", "ǅ İstanbul ﬁ é", "<|endoftext|> x<|startoftext|>y", "a b c", "日本語 テスト", "\x00a\x1cb\x85c", "Straße — 5€", "😀😀 ok"]:
-        assert np.frombuffer(enc.encode(text.encode()), "<u4").tolist() == plain(text)[:-1], text
+    texts = ["", "don't STOP'LL 1234 a.b!!c", "ǅ İstanbul ﬁ é", "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>", "a b c", "日本語 テスト", "\x00a\x1cb\x85c", "Straße — 5€", "😀😀 ok"]
+    texts += ["Éçeau's ÀÖ×Ø÷ ßÿ12ª", "cafe\u0301 ŒUVRE", "don't'LLx're", "é", "x", "a1b2Ç3", "end", "é é", "", "##é$$", "É" * 40, "\u00c3\u0083 Ã"]
+    for _ in range(2):  # from the memo, the second time
+        raw = [t.encode() for t in texts]
+        out, sizes = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), 1)
+        assert [x.tolist() for x in np.split(out, np.cumsum(sizes)[:-1])] == [plain(t) for t in texts]
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert enc.encode(raw, np.array([0, len(raw)]), 1)[0].tolist() == plain(t)
 
 
 def test_empty_table_and_equal_ids(spark, empty):
