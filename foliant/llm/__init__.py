@@ -13,6 +13,7 @@ MODULES = [
     "toxicity",
     "decontamination",
     "lm_scoring",
+    "suffix_dedup",
 ]
 
 
