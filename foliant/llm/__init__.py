@@ -14,6 +14,8 @@ MODULES = [
     "decontamination",
     "lm_scoring",
     "suffix_dedup",
+    "mixing",
+    "line_dedup",
 ]
 
 

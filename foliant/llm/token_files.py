@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -190,6 +190,13 @@ def _encoding_task(path: str, end_id: int):
     return run
 
 
+def file_order(docs: DataFrame) -> Column:
+    """The place of each row in the files that ``docs`` is read from; the doc_id for any other DataFrame."""
+    if not docs.inputFiles():
+        return F.col("doc_id")
+    return F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+
+
 def write_tokens(docs: DataFrame, path: str, order: str = "doc_id", vocabulary: str | None = None, end_id: int = END_ID, encoding: str = "dictionary") -> None:
     """Encode ``docs`` (doc_id, text and ``order``) and write the token files to ``path``."""
     n = partitions_for(docs, PART_BYTES)
