@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name -> (spark, sf_dir) -> DataFrame) and ORACLES (name -> DuckDB SQL).
-MODULES: list[str] = []
+MODULES: list[str] = [
+    "foliant.plans.money",
+]
 
 
 def queries() -> dict:
@@ -17,4 +19,5 @@ def oracles() -> dict:
 
 
 def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    raise NotImplementedError
+    """The reconciliation of documents with their lines."""
+    return queries()["monetary_reconciliation"](spark, sf_dir)
