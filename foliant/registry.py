@@ -7,6 +7,7 @@ from importlib import import_module
 #: Modules with QUERIES (name -> (spark, sf_dir) -> DataFrame) and ORACLES (name -> DuckDB SQL).
 MODULES: list[str] = [
     "foliant.plans.money",
+    "foliant.plans.lists",
 ]
 
 
