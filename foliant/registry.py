@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES: list[str] = [
     "foliant.plans.money",
     "foliant.plans.lists",
+    "foliant.plans.linking",
 ]
 
 
