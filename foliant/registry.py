@@ -9,6 +9,7 @@ MODULES: list[str] = [
     "foliant.plans.money",
     "foliant.plans.lists",
     "foliant.plans.linking",
+    "foliant.plans.pages",
 ]
 
 
