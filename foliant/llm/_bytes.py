@@ -81,15 +81,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word: a polynomial by prefix sums, then mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+#: Bytes hashed at a time, which bounds the tables of powers.
+_BLOCK = 1 << 20
+
+
+def _block_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the polynomial over some bytes, and the powers that move a sum back to position 0."""
     up, down = _powers(1 << max(21, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_RANDOM[data] * up[: len(data)], out=sums[1:], dtype=np.uint64)
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return sums, down
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word (ascending, apart from each other): a polynomial by prefix sums,
+    then mixed with the length."""
+    out, first = np.empty(len(starts), dtype=np.uint64), 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _BLOCK, "right")))
+        a, s, e = int(starts[first]), starts[first:last], ends[first:last]
+        sums, down = _block_sums(data[a : int(e[-1])])
+        h = (sums[e - a] - sums[s - a]) * down[s - a]
+        out[first:last] = mixed(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        first = last
+    return out
+
+
+def run_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes from each position."""
+    n = max(0, len(data) - size + 1)
+    out = np.empty(n, dtype=np.uint64)
+    for a in range(0, n, _BLOCK):
+        b = min(n, a + _BLOCK)
+        sums, down = _block_sums(data[a : b + size - 1])
+        out[a:b] = mixed((sums[size:] - sums[:-size]) * down[: b - a])
+    return out
 
 
 def text_groups(column: pa.Array | pa.ChunkedArray, most: int = 2 << 20):

@@ -34,7 +34,7 @@ from foliant.llm._bytes import LOWER, mixed, word_hashes, word_spans
 from foliant.llm._segments import opened, packed, packed_counts, text_segments, unpacked, unpacked_counts
 from foliant.llm._tables import documents, fold_of_value, stored, text_bytes
 
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 3 << 20
 #: Text bytes whose n-grams one owner of a hash range adds up, on average.
 OWNER_BYTES = 12 << 20
 EM_SHARE = 8

@@ -47,7 +47,7 @@ LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams of a window
 LEFT = SPAN - 1
 WIDTH = LENGTH + LEFT
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 3 << 20
 OWNER_BYTES = 16 << 20
 HOT = 200_000
 _NULL = -(2**63)
@@ -56,13 +56,7 @@ _CUT = np.uint64(16)
 
 def _hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` bytes from each position, 1 at least."""
-    n = len(data) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = _bytes._powers(1 << max(21, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_bytes._RANDOM[data] * up[: len(data)], out=sums[1:], dtype=np.uint64)
-    return np.maximum(_bytes.mixed((sums[size:] - sums[:-size]) * down[:n]), np.uint64(1))
+    return np.maximum(_bytes.run_hashes(data, size), np.uint64(1))
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
