@@ -10,6 +10,7 @@ MODULES: list[str] = [
     "foliant.plans.lists",
     "foliant.plans.linking",
     "foliant.plans.pages",
+    "foliant.plans.parsing",
 ]
 
 
