@@ -72,3 +72,17 @@ def union_counts(tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         out = one if out is None else out.unionAll(one)
     return out
+
+
+def register_once(table: DataFrame, requests: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Requests with ``created``: true for the first of each key that the table does not have yet."""
+    known = table.select(*keys).distinct().withColumn("__known", F.lit(True))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
+    joined = requests.withColumn("__first", first).join(known, keys, "left")
+    return joined.withColumn("created", F.col("__first") & F.col("__known").isNull()).drop("__first", "__known")
+
+
+def bounded_int(value: Column, low: int, high: int) -> Column:
+    """A setting's text as a whole number within bounds; null for anything else."""
+    n = F.trim(value).try_cast("int")
+    return F.when(F.trim(value).rlike(r"^-?\d+$") & n.between(low, high), n)

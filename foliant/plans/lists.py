@@ -162,9 +162,27 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 _POINT = "SELECT c_name AS name, 1 AS store FROM customer WHERE c_custkey = 7"
 
+def consent_register(spark: SparkSession, d: str) -> DataFrame:
+    """Events as consents by installation and version; those of the first days are stored already."""
+    e = _t(spark, d, "events").select("event_id", F.col("user_id").alias("installation"), F.col("event_type").alias("version"))
+    found = L.register_once(e.filter("event_id < 300"), e.filter("event_id >= 300"), ["installation", "version"], "event_id")
+    return found.groupBy("version").agg(F.count("*").alias("n"), F.count_if("created").alias("n_created"), F.max(F.when(F.col("created"), F.col("event_id"))).alias("last_created"))
+
+
+_CONSENT = "WITH e AS (SELECT event_id, user_id AS i, event_type AS v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY i, v ORDER BY event_id) = 1 AND NOT EXISTS (SELECT 1 FROM e k WHERE k.event_id < 300 AND k.i = e.i AND k.v = e.v) AS created FROM e WHERE event_id >= 300) SELECT v AS version, count(*) AS n, count(*) FILTER (created) AS n_created, max(event_id) FILTER (created) AS last_created FROM r GROUP BY v"
+
+
+def bounded_settings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" "))).when(k % 4 == 2, F.lit("12.5")).otherwise(F.lit("99999999999"))
+    return _t(spark, d, "part").select("p_partkey", L.bounded_int(text, 5, 40).alias("setting"))
+
+
+_SETTINGS = "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND p_partkey BETWEEN 5 AND 40 THEN p_partkey::INT WHEN p_partkey % 4 = 1 AND p_size BETWEEN 5 AND 40 THEN p_size END AS setting FROM part"
+
 QUERIES = {
     f.__name__: f
-    for f in (customer_search, doc_search, short_query, type_filter, export_sort_newest, export_sort_name, export_batches, line_item_export, csv_render, vcard_render, json_render, text_render, file_names, fingerprint_hash, union_counts, orphans_anti, live_semi, upsert_latest, point_lookup)
+    for f in (customer_search, doc_search, short_query, type_filter, export_sort_newest, export_sort_name, export_batches, line_item_export, csv_render, vcard_render, json_render, text_render, file_names, fingerprint_hash, union_counts, orphans_anti, live_semi, upsert_latest, point_lookup, consent_register, bounded_settings)
 }
 ORACLES = {
     "customer_search": _CUSTOMER, "doc_search": _DOCS, "short_query": _SHORT, "type_filter": _TYPES,
@@ -173,5 +191,5 @@ ORACLES = {
     "export_batches": _BATCHES, "line_item_export": _LINES, "csv_render": _CSV, "vcard_render": _VCARD, "json_render": _JSON, "text_render": _TEXT, "file_names": _FILES, "fingerprint_hash": _HASH, "union_counts": _COUNTS,
     "orphans_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
     "live_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)",
-    "upsert_latest": _UPSERT, "point_lookup": _POINT,
+    "upsert_latest": _UPSERT, "point_lookup": _POINT, "consent_register": _CONSENT, "bounded_settings": _SETTINGS,
 }
