@@ -18,7 +18,7 @@ def test_json_in_text(spark):
 
 
 def test_cards(spark):
-    card = "BEGIN:VCARD\r\nFN:Anna\r\n  Rossi\r\nTEL;TYPE=CELL:1\r\nTEL:2\r\nORG:A\\, B\;C\\\\D\r\nEND:VCARD\r\n"
+    card = "BEGIN:VCARD\r\nFN:Anna\r\n  Rossi\r\nTEL;TYPE=CELL:1\r\nTEL:2\r\nORG:A\\, B\\;C\\\\D\r\nEND:VCARD\r\n"
     m = spark.createDataFrame([(card,)], "x string").select(R.vcard_fields(F.col("x")).alias("m")).first().m
     assert (m["FN"], m["TEL"], m["ORG"]) == (["Anna Rossi"], ["1", "2"], ["A, B;C\\D"])
     e = spark.createDataFrame([("MECARD:N:Rossi,Anna;TEL:1;;",)], "x string").select(R.mecard_fields(F.col("x")).alias("m")).first().m
