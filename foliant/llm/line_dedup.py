@@ -5,9 +5,9 @@ last of them where it falls into the lowest quarter; so inserted or deleted line
 than ROLL lines. A chunk of two lines or more whose bytes occurred before (in a smaller (doc_id, chunk)) goes.
 
 A first pass shuffles hashes alone and finds, by partial aggregation, the chunk hashes that occur twice and
-where each occurs first. Then the first occurrences' texts are fetched, and the other occurrences are joined
-to them by hash and compared byte by byte; the join has a single row for each hash on one side, so adaptive
-execution can split a hash with very many occurrences. A different text with an equal hash stays.
+where each occurs first. A join by hash then drops the texts of all other chunks and the rest is written down, and
+the later occurrences are joined to the first ones by hash and compared byte by byte; both joins have a single row
+for each hash on one side, so adaptive execution can split a hash with very many occurrences. A different text with an equal hash stays.
 
 Results for odd rows: a null or empty text has no lines. Rows that share doc_id and text count as one document
 (neither takes away the other's lines); a null doc_id comes before all others. An empty table gives no rows.
@@ -53,12 +53,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, tk, idx, first, n, bytes of every chunk that repeats an earlier one."""
     where = F.struct("doc_id", "tk", "idx")
     seen = _occurrences(docs, False).groupBy("h").agg(F.count("*").alias("times"), F.min(where).alias("lead")).filter("times > 1").select("h", "lead")
-    seen = stored(seen, "repeated")
-    full = _occurrences(docs, True)
+    # how many hashes repeat grows with the table, so the join that drops all other texts is the same at any size
+    again = stored(_occurrences(docs, True).join(stored(seen, "repeated").hint("merge"), "h"), "occurrences")
     is_lead = (F.col("doc_id").eqNullSafe(F.col("lead.doc_id"))) & (F.col("tk") == F.col("lead.tk")) & (F.col("idx") == F.col("lead.idx"))
     # rows that share doc_id and text give equal rows here
-    leads = stored(full.join(seen, "h").filter(is_lead).select("h", "lead", F.col("body").alias("lead_body")).dropDuplicates(["h"]), "leads")
-    return full.join(leads, "h").filter(~is_lead & (F.col("body") == F.col("lead_body"))).select("doc_id", "tk", "idx", "first", "n", "bytes")
+    leads = again.filter(is_lead).select("h", F.col("body").alias("lead_body")).dropDuplicates(["h"])
+    return again.filter(~is_lead).join(leads, "h").filter(F.col("body") == F.col("lead_body")).select("doc_id", "tk", "idx", "first", "n", "bytes")
 
 
 def removals(docs: DataFrame) -> DataFrame:
