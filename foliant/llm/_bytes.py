@@ -82,12 +82,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes hashed at a time, which bounds the tables of powers.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def _block_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of the polynomial over some bytes, and the powers that move a sum back to position 0."""
-    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(19, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_RANDOM[data] * up[: len(data)], out=sums[1:], dtype=np.uint64)
     return sums, down

@@ -68,7 +68,7 @@ class Tokens:
         self.pair, self.pair_of = np.unique(pair, return_inverse=True)
         self.word_count = np.bincount(self.word_of[own], minlength=len(self.word))
         self.pair_count = np.bincount(self.pair_of[own], minlength=len(self.pair))
-        self.context_of = np.concatenate([[0], self.word_of[:-1]])  # of a text's first token: overwritten below
+        self.context_of = np.concatenate([[0], self.word_of[:-1]])  # a text's first token has the begin of the text instead
         self.is_first = np.zeros(len(self.token), dtype=bool)
         self.is_first[self.first] = True
 

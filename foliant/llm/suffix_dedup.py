@@ -20,6 +20,8 @@ them loses no match (winnowing). The steps:
    instead, by the windows' hashes, so that one common passage cannot fill one task.
 4. The answers, a bit for each window, go back to the segments, which cut out the bytes.
 
+The segments are written once, bucketed by their numbers, so their texts are not shuffled again for steps 2 and 4.
+
 Everything is decided by bytes, not by hashes. A segment sends equal suffixes once, so copies and common
 passages are combined before any shuffle.
 
@@ -41,14 +43,16 @@ from pyspark.sql import functions as F
 
 from foliant.llm import _bytes
 from foliant.llm._segments import packed_counts, segments_of, unpacked_counts
-from foliant.llm._tables import documents, stored, text_bytes
+from foliant.llm._tables import bucketed, documents, stored, text_bytes
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams of a window
 LEFT = SPAN - 1
 WIDTH = LENGTH + LEFT
-SEGMENT_BYTES = 3 << 20
-OWNER_BYTES = 16 << 20
+SEGMENT_BYTES = 2 << 20
+OWNER_BYTES = 8 << 20
+#: Text bytes of a bucket of segments, which is what a task reads.
+BUCKET_BYTES = 32 << 20
 HOT = 200_000
 _NULL = -(2**63)
 _CUT = np.uint64(16)
@@ -95,7 +99,8 @@ class Segment:
         self.offsets = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int64))])
         self.spots, self.hashes = anchors(self.data, self.offsets)
         self.text = np.searchsorted(self.offsets, self.spots, "right") - 1
-        self.grams, self.gram_of = np.unique(self.hashes >> _CUT, return_inverse=True)
+        # anchors have small hashes by their choice; mixed once more they spread evenly over the owners
+        self.grams, self.gram_of = np.unique(_bytes.mixed(self.hashes) >> _CUT, return_inverse=True)
 
 
 def _segment_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,9 +418,11 @@ def _cutting_task(with_text: bool):
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of each row."""
-    bits = min(20, max(0, int(np.ceil(np.log2(max(1, text_bytes(docs) / OWNER_BYTES))))))
+    size = text_bytes(docs)
+    bits = min(20, max(0, int(np.ceil(np.log2(max(1, size / OWNER_BYTES))))))
+    buckets = min(100_000, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
     rows = docs.select("doc_id", "text").mapInArrow(_segment_task, "segment long, doc_ids array<long>, sizes binary, data binary")
-    segments = stored(rows, "segments")
+    segments = bucketed(rows, "segments", "segment", buckets)
     grams = segments.mapInArrow(_gram_task(bits), "owner int, segment long, grams binary, counts binary")
     answers = grams.groupBy("owner").applyInArrow(_repeat_task, "segment long, owner int, answer binary")
     sent = stored(segments.groupBy("segment").cogroup(answers.groupBy("segment")).applyInArrow(_run_task(bits), SENT), "runs")
