@@ -7,11 +7,10 @@ training counts to the owners of hash ranges, which add them up and answer each
 its n-grams in the same order (so answers carry no keys). Neither a frequent word nor a large source makes a
 hot partition, since a segment sends an n-gram once.
 
-The weights are learned by expectation-maximisation on held-out counts: for each training text of every
-``EM_SHARE``-th segment (by a hash of its number; all of them where the table is so small that none is hit),
-the text's own counts are deleted from the totals and its tokens are predicted from the rest. The tokens'
-estimates are gathered in cells of a fixed grid (context bucket, bigram and unigram probability in quarters
-of a power of two), so the driver's loop runs over a bounded table.
+The weights are learned by expectation-maximisation on held-out counts: for each training text, the text's
+own counts are deleted from the totals and its tokens are predicted from the rest. The tokens' estimates are
+gathered in cells of a fixed grid (context bucket, bigram and unigram probability in quarters of a power of
+two), so the driver's loop runs over a bounded table. How the texts lie in files and segments does not matter.
 
 n-grams are 64-bit hashes; of n distinct ones two share a hash with odds n^2 / 2^65.
 
@@ -37,7 +36,6 @@ from foliant.llm._tables import documents, fold_of_value, stored, text_bytes
 SEGMENT_BYTES = 3 << 20
 #: Text bytes whose n-grams one owner of a hash range adds up, on average.
 OWNER_BYTES = 12 << 20
-EM_SHARE = 8
 EM_ROUNDS = 40
 BUCKETS = 32
 _END, _BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -208,11 +206,8 @@ def score(docs: DataFrame, training: Callable[[int | None], bool]) -> DataFrame:
     answers = stored(sent.groupBy("n", "owner").applyInArrow(_adding_task, ANSWERS), "answers")
     sizes = {r.n: (r.total, r.seen) for r in answers.groupBy("n").agg(F.sum("total").alias("total"), F.sum("distinct_grams").alias("seen")).collect()}
     size = (sizes.get(1, (0, 0))[0], sizes.get(1, (0, 0))[1], sizes.get(0, (0, 0))[0])
-    chosen = F.pmod(F.xxhash64("segment"), F.lit(EM_SHARE)) == 0
-    if not segments.filter(chosen).select("segment").take(1):
-        chosen = F.lit(True)
     own = answers.filter("n > 0").select("n", "owner", "segment", "answer")
-    held = segments.filter(chosen).groupBy("segment").cogroup(own.filter(chosen).groupBy("segment")).applyInArrow(_cells_task(training, size), "cell long, n long")
+    held = segments.groupBy("segment").cogroup(own.groupBy("segment")).applyInArrow(_cells_task(training, size), "cell long, n long")
     cells: pd.DataFrame = held.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
     weights = mixture_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), size[1])
     return segments.groupBy("segment").cogroup(own.groupBy("segment")).applyInArrow(_scoring_task(training, size, weights), SCORES)

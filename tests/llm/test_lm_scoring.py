@@ -50,6 +50,19 @@ def test_weights_are_the_maximum():
     assert like(w) >= best - 1e-3
 
 
+def test_weights_come_from_all_training_texts(docs, rows, monkeypatch):
+    """However the texts are dealt out to segments."""
+    held, learn = [], L.mixture_weights
+    monkeypatch.setattr(L, "mixture_weights", lambda cell, n, words: held.append(sorted(zip(cell, n))) or learn(cell, n, words))
+    by_size = []
+    for size, parts in ((1 << 9, 5), (1 << 20, 1)):
+        monkeypatch.setattr(L, "SEGMENT_BYTES", size)
+        by_size.append(sorted((r.doc_id, r.score) for r in L.score(docs.repartition(parts), L.in_training).collect()))
+    assert sum(n for _, n in held[0]) == sum(len(tokens(t)) for i, t, *_ in rows if L.in_training(i))
+    assert held[0] == held[1]
+    assert by_size[0] == [(i, pytest.approx(x)) for i, x in by_size[1]]
+
+
 def test_odd_rows(spark, docs, empty):
     assert L.score(empty, L.in_training).count() == 0
     untrained = L.score(docs, lambda i: False).collect()
