@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, language_id, mixing, simhash, token_files
+from foliant.llm import decontamination, language_id, mixing, near_copies, token_files
 from foliant.llm._tables import documents, new_path
 
 
@@ -19,8 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (similarity of 5-word shingles >= 0.8) stays: that with the
+    smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
