@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import fold
+from foliant.operators.shared import stored
 
 BATCH = 30
 LEAST_QUERY = 3
@@ -35,12 +36,14 @@ def display_name(first: Column, last: Column, company: Column, title: Column, fa
 
 def with_ordinal(df: DataFrame, *order: Column, name: str = "ordinal") -> DataFrame:
     """Adds 1, 2, 3 ... along ``order`` without sorting everything in one task: the rows are range-partitioned and
-    sorted, each partition numbers its own, and the partitions' sizes (one row each) are added up."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
-    own = ranged.withColumn("__own", (F.col("__at").bitwiseAND((1 << 33) - 1)) + 1)
+    sorted, and each partition numbers its own. They are written once; the partitions' sizes (one row each) come from
+    that table, as another run of the same plan could draw other bounds between the partitions."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = {"__part": F.spark_partition_id(), "__own": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1}
+    own = stored(ranged.withColumns(place), "ranged")
     sizes = own.groupBy("__part").agg(F.max("__own").alias("n"))
     before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
-    return own.join(F.broadcast(before), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__at", "__own", "__before")
+    return own.join(F.broadcast(before), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
 
 
 def batches(df: DataFrame, ordinal: str = "ordinal", size: int = BATCH) -> DataFrame:

@@ -19,19 +19,23 @@ def first_last(pages: DataFrame, key: str, order: Column, first: list[str], last
 def best_candidate(candidates: DataFrame, keys: list[str], tolerance: float = 0.005) -> DataFrame:
     """Of candidates (keys, value double, validation int, confidence, method, page): the best of each field with its
     number of candidates, whether all agree, and the reason. A missing confidence ranks below all others."""
-    order = F.struct(F.col("validation").alias("a"), F.coalesce("confidence", F.lit(-1.0)).alias("b"), (-F.col("value")).alias("c"), (-F.col("page")).alias("d"))
-    best = F.max_by(F.struct("value", "validation", "confidence", "method", "page"), order).alias("best")
-    g = candidates.groupBy(*keys).agg(best, F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.sort_array(F.collect_list("validation"), asc=False).alias("ranks"), F.sort_array(F.collect_list("confidence"), asc=False).alias("conf"))
-    agree = (F.col("high") - F.col("best.value") < tolerance) & (F.col("best.value") - F.col("low") < tolerance)
-    second_rank, second_conf = F.get("ranks", F.lit(1)), F.get("conf", F.lit(1))
+    # one sort by key, then sums alone: no list of a key's candidates is held
+    w = Window.partitionBy(*keys).orderBy(F.desc("validation"), F.desc_nulls_last("confidence"), F.asc("value"), F.asc("page"))
+    ranked = candidates.withColumn("first", F.row_number().over(w) == 1)
+    own, rest = lambda c: F.max(F.when(F.col("first"), F.col(c))).alias(c), lambda c: F.max(F.when(~F.col("first"), F.col(c)))
+    g = ranked.groupBy(*keys).agg(
+        own("value"), own("validation"), own("confidence"), own("page"), F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
+        rest("validation").alias("next_validation"), rest("confidence").alias("next_confidence"), F.count("confidence").alias("n_confident"),
+    )
+    agree = (F.col("high") - F.col("value") < tolerance) & (F.col("value") - F.col("low") < tolerance)
     reason = (
         F.when(F.col("n") == 1, "single_candidate")
         .when(agree, "same_value_repeated")
-        .when(F.col("best.validation") > second_rank, "stronger_validation")
-        .when((F.size("conf") == F.col("n")) & (F.col("best.confidence") > F.when(F.get("conf", F.lit(0)) > F.col("best.confidence"), F.get("conf", F.lit(0))).otherwise(second_conf)), "higher_reported_confidence")
+        .when(F.col("validation") > F.col("next_validation"), "stronger_validation")
+        .when((F.col("n_confident") == F.col("n")) & (F.col("confidence") > F.col("next_confidence")), "higher_reported_confidence")
         .otherwise("deterministic_conflict_tiebreak")
     )
-    return g.select(*keys, "best.value", "best.page", "n", (~agree).alias("conflict"), reason.alias("reason"))
+    return g.select(*keys, "value", "page", "n", (~agree).alias("conflict"), reason.alias("reason"))
 
 
 def reconcile_sources(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:

@@ -79,10 +79,14 @@ def _contacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contact_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Contacts made from the customers; the scoring is tested against a plain version."""
+    """Contacts made from the customers."""
     return K.contact_duplicates(_contacts(spark, d))
 
 
+def best_contact_duplicate(spark: SparkSession, d: str) -> DataFrame:
+    return K.best_duplicate(K.contact_duplicates(_contacts(spark, d)))
+
+
 def contact_keys(spark: SparkSession, d: str) -> DataFrame:
     return K.contact_keys(_contacts(spark, d)).select("id", "name", "company", "email", "phone", "site", "tax", F.coalesce("mail_site", F.lit("")).alias("mail_site"))
 
@@ -95,6 +99,41 @@ SELECT k AS id, ['anna', 'marco', 'lucia', 'jurgen', 'chloe', 'paul', 'marta'][(
 """
 
 
+# All pairs of contacts, by the rules written out for these contacts: no pages, images or addresses.
+_BOX = "split_part({0}, '@', 1) = 'info'"
+_LIKE = "CASE WHEN a.{0} = '' OR b.{0} = '' THEN 0 ELSE 1 - levenshtein(a.{0}, b.{0}) / greatest(length(a.{0}), length(b.{0})) END"
+_SAME = "(a.{0} <> '' AND a.{0} = b.{0})"
+_HITS = [
+    ("email_same", 72, "strong", "same_email AND NOT generic"), ("email_generic", 18, "medium", "same_email AND generic AND same_name AND NOT apart"), ("email_ocr", 58, "strong", "near_email AND NOT same_email AND NOT apart AND same_name AND (same_company OR same_site) AND NOT box_a AND NOT box_b"),
+    ("phone_same", 65, "strong", "same_phone AND NOT apart"), ("phone_ocr", 52, "strong", "ocr"), ("tax_id_same", 80, "strong", "same_tax"), ("domain_person", 55, "strong", "same_site AND same_name AND NOT apart"), ("name_exact", 30, "medium", "same_name"),
+    ("name_fuzzy", 22, "medium", "NOT same_name AND NOT apart AND like_name >= 0.78"), ("company_exact", 16, "medium", "same_company"), ("company_fuzzy", 12, "medium", "NOT same_company AND like_company >= 0.76"), ("city_same", 10, "medium", "same_city"),
+    ("domain_same", 8, "weak", "dom"), ("phone_suffix", 28, "medium", "dom AND NOT same_phone AND NOT ocr AND NOT apart AND suffix"), ("country_same", 3, "weak", "true"),
+]
+_any = lambda *names: "(" + " OR ".join(f"h_{n}" for n in names) + ")"
+_PAIRS = f"""
+WITH k AS ({_KEYS}),
+ n AS (SELECT k.*, left(name, position('rossi' IN name) - 1) AS first, substr(name, position('rossi' IN name)) AS last, 'city' || id % 90 AS city, 2 + (company <> '')::INT + (email <> '')::INT + (phone <> '')::INT + (site <> '')::INT + (tax <> '')::INT AS fields FROM k),
+ p AS (SELECT a.id, b.id AS other, {', '.join(_SAME.format(c) + ' AS same_' + c for c in ('name', 'company', 'email', 'phone', 'site', 'tax', 'city'))}, {_LIKE.format('name')} AS like_name, {_LIKE.format('company')} AS like_company,
+  {_LIKE.format('first')} < 0.58 OR {_LIKE.format('last')} < 0.68 AS apart, {_BOX.format('a.email')} AS box_a, {_BOX.format('b.email')} AS box_b, {_SAME.format('site')} OR (a.mail_site <> '' AND a.mail_site = b.mail_site) AS dom, least(a.fields, b.fields) AS fields,
+  length(a.phone) >= 9 AND length(b.phone) >= 9 AND a.phone <> b.phone AND right(a.phone, 7) = right(b.phone, 7) AS suffix, length(a.phone) >= 9 AND length(b.phone) >= 9 AND levenshtein(a.phone, b.phone) = 1 AS one_off,
+  a.email <> '' AND b.email <> '' AND ((split_part(a.email, '@', 2) = split_part(b.email, '@', 2) AND least(length(split_part(a.email, '@', 1)), length(split_part(b.email, '@', 1))) >= 4 AND levenshtein(split_part(a.email, '@', 1), split_part(b.email, '@', 1)) = 1)
+   OR (split_part(a.email, '@', 1) = split_part(b.email, '@', 1) AND least(length(split_part(a.email, '@', 2)), length(split_part(b.email, '@', 2))) >= 5 AND levenshtein(split_part(a.email, '@', 2), split_part(b.email, '@', 2)) = 1)) AS near_email,
+  NOT (a.name = b.name AND a.company = b.company AND a.email = b.email AND a.phone = b.phone AND a.tax = b.tax) AS core FROM n a JOIN n b ON a.id < b.id),
+ q AS (SELECT *, box_a AS generic, NOT same_phone AND NOT apart AND same_name AND (same_company OR dom) AND (suffix OR one_off) AS ocr FROM p),
+ h AS (SELECT *, {', '.join(f'{rule} AS h_{n}' for n, _, _, rule in _HITS)} FROM q),
+ s AS (SELECT *, {_any(*(n for n, _, kind, _ in _HITS if kind == 'strong'))} AS strong, {_any('email_generic', 'company_exact', 'company_fuzzy', 'city_same', 'phone_suffix')} AS medium, h_email_same::INT + h_phone_same::INT + h_tax_id_same::INT AS eligible,
+  greatest(0, least(100, {' + '.join(f'{v} * h_{n}::INT' for n, v, _, _ in _HITS)} - CASE WHEN apart AND h_email_same THEN 16 ELSE 0 END)) AS score, concat_ws(',', {', '.join(f"CASE WHEN h_{n} THEN '{n}' END" for n, _, _, _ in _HITS)}) AS signals FROM h),
+ t AS (SELECT id, other, score, signals, CASE WHEN NOT strong AND (fields <= 1 OR (h_name_fuzzy AND NOT medium AND NOT h_phone_suffix) OR NOT {_any('name_exact', 'name_fuzzy', 'phone_suffix')}) THEN NULL
+  WHEN NOT core AND ((eligible >= 2 AND NOT apart) OR (h_name_exact AND h_company_exact AND eligible > 0)) THEN 'exact' WHEN strong THEN 'probable' WHEN score >= 28 THEN 'possible' END AS tier FROM s)
+SELECT id, other, tier, score, signals FROM t WHERE tier IS NOT NULL
+"""
+_BEST = f"""
+WITH d AS ({_PAIRS}), s AS (SELECT id, other, tier, score FROM d UNION ALL SELECT other, id, tier, score FROM d),
+ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE tier WHEN 'exact' THEN 3 WHEN 'probable' THEN 2 ELSE 1 END DESC, score DESC, other) AS k FROM s)
+SELECT id, other, tier, score FROM r WHERE k = 1
+"""
+
+
 def domain_normalize(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", T.domain_key(F.col("url")).alias("domain"))
 
@@ -126,7 +165,7 @@ _FIRST_LAST = "WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN md5
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "events").filter("event_id % 3 = 0")
+    e = _t(spark, d, "events")
     return e.select("user_id", "event_type", (F.floor(F.col("value") / 50) / 2).alias("value"), (F.col("event_id") % 3 + F.col("event_id") % 2).cast("int").alias("validation"), F.when(F.col("event_id") % 4 > 0, (F.col("event_id") % 10) / 10).alias("confidence"), F.lit("local").alias("method"), F.col("event_id").alias("page"))
 
 
@@ -136,7 +175,7 @@ def field_argmax_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ARGMAX = """
-WITH c AS (SELECT user_id, event_type, floor(value / 50) / 2 AS value, (event_id % 3 + event_id % 2)::INT AS v, CASE WHEN event_id % 4 > 0 THEN (event_id % 10) / 10.0::DOUBLE END AS f, event_id AS page FROM events WHERE event_id % 3 = 0),
+WITH c AS (SELECT user_id, event_type, floor(value / 50) / 2 AS value, (event_id % 3 + event_id % 2)::INT AS v, CASE WHEN event_id % 4 > 0 THEN (event_id % 10) / 10.0::DOUBLE END AS f, event_id AS page FROM events),
  r AS (SELECT *, row_number() OVER w AS k, count(*) OVER g AS n, min(value) OVER g AS lo, max(value) OVER g AS hi, max(v) OVER g AS mv, max(f) OVER g AS mf, count(f) OVER g AS nf FROM c
    WINDOW g AS (PARTITION BY user_id, event_type), w AS (PARTITION BY user_id, event_type ORDER BY v DESC, coalesce(f, -1) DESC, value, page)),
  b AS (SELECT * FROM r WHERE k = 1),
@@ -175,12 +214,12 @@ SELECT field, CASE WHEN b IS NOT DISTINCT FROM a THEN 'unchanged' WHEN b IS NULL
 
 
 def reading_vote(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "events").select("user_id", F.lit("click").alias("observed"), F.col("event_type").alias("value")).filter(F.col("user_id") % 2 == 0)
+    e = _t(spark, d, "events").select("user_id", F.lit("click").alias("observed"), F.col("event_type").alias("value"))
     return G.vote(e, "user_id", "observed", "value", 14)
 
 
 _VOTE = """
-WITH n AS (SELECT user_id, event_type AS v, count(*) AS n FROM events WHERE user_id % 2 = 0 GROUP BY ALL),
+WITH n AS (SELECT user_id, event_type AS v, count(*) AS n FROM events GROUP BY ALL),
  g AS (SELECT user_id, coalesce(max(n) FILTER (v = 'click'), 0) AS own, count(*) FILTER (n >= 14 AND v <> 'click') AS r, min(v) FILTER (n >= 14 AND v <> 'click') AS rv FROM n GROUP BY user_id)
 SELECT user_id, CASE WHEN own < 14 AND r = 1 THEN rv ELSE 'click' END AS selected, own < 14 AND r = 1 AS changed FROM g
 """
@@ -199,7 +238,7 @@ def agreement_fold(spark: SparkSession, d: str) -> DataFrame:
     return G.fold_agreement(c, ["user_id", "event_type"], "value", "score").groupBy("user_id").agg(F.count("*").alias("n_values"), F.max(M.cents(F.col("score"))).alias("best"))
 
 
-_FOLD = "WITH c AS (SELECT user_id, event_type, floor(value / 50) / 2 AS value, CASE WHEN event_id % 4 > 0 THEN (event_id % 10) / 10.0::DOUBLE ELSE 0.5 END AS s FROM events WHERE event_id % 3 = 0), g AS (SELECT user_id, event_type, value, least(1.0, max(s) + 0.05 * (count(*) - 1)) AS s FROM c GROUP BY ALL) SELECT user_id, count(*) AS n_values, max(CAST(floor(s * 100 + 0.5) AS BIGINT)) AS best FROM g GROUP BY user_id"
+_FOLD = "WITH c AS (SELECT user_id, event_type, floor(value / 50) / 2 AS value, CASE WHEN event_id % 4 > 0 THEN (event_id % 10) / 10.0::DOUBLE ELSE 0.5 END AS s FROM events), g AS (SELECT user_id, event_type, value, least(1.0, max(s) + 0.05 * (count(*) - 1)) AS s FROM c GROUP BY ALL) SELECT user_id, count(*) AS n_values, max(CAST(floor(s * 100 + 0.5) AS BIGINT)) AS best FROM g GROUP BY user_id"
 
 
 def best_attempt(spark: SparkSession, d: str) -> DataFrame:
@@ -211,9 +250,9 @@ _ATTEMPT = "WITH e AS (SELECT user_id, event_id, floor(value / 100)::BIGINT AS s
 
 QUERIES = {
     f.__name__: f
-    for f in (duplicate_groups, duplicate_keep_policy, possible_duplicates_2of3, document_matches, fuzzy_name_pairs, contact_duplicates, contact_keys, domain_normalize, email_phone_extract, page_first_last_merge, field_argmax_merge, reconcile_sources, field_changes, reading_vote, brand_repetitions, agreement_fold, best_attempt)
+    for f in (duplicate_groups, duplicate_keep_policy, possible_duplicates_2of3, document_matches, fuzzy_name_pairs, contact_duplicates, best_contact_duplicate, contact_keys, domain_normalize, email_phone_extract, page_first_last_merge, field_argmax_merge, reconcile_sources, field_changes, reading_vote, brand_repetitions, agreement_fold, best_attempt)
 }
 ORACLES = {
-    "duplicate_groups": _GROUPS, "duplicate_keep_policy": _NEWEST, "possible_duplicates_2of3": _TWO_OF_THREE, "document_matches": _MATCHES, "fuzzy_name_pairs": _FUZZY, "contact_keys": _KEYS, "domain_normalize": _DOMAIN, "email_phone_extract": _EXTRACT,
+    "duplicate_groups": _GROUPS, "duplicate_keep_policy": _NEWEST, "possible_duplicates_2of3": _TWO_OF_THREE, "document_matches": _MATCHES, "fuzzy_name_pairs": _FUZZY, "contact_keys": _KEYS, "contact_duplicates": _PAIRS, "best_contact_duplicate": _BEST, "domain_normalize": _DOMAIN, "email_phone_extract": _EXTRACT,
     "page_first_last_merge": _FIRST_LAST, "field_argmax_merge": _ARGMAX, "reconcile_sources": _RECONCILE, "field_changes": _CHANGES, "reading_vote": _VOTE, "brand_repetitions": _BRAND, "agreement_fold": _FOLD, "best_attempt": _ATTEMPT,
 }

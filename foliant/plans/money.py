@@ -171,19 +171,23 @@ SELECT o_orderkey, CASE k WHEN 0 THEN iso WHEN 1 THEN strftime(y, '%d/%m/%Y') WH
  CASE WHEN k IN (1, 2) THEN CASE WHEN swapped IS NULL OR swapped = iso THEN iso ELSE iso || '|' || swapped END ELSE '' END AS alternatives FROM x
 """
 
-_LABELS = ["Totale documento", "Subtotal", "IVA 22%", "VAT amount", "Sconto", "Sconto %", "Shipping costs", "Prezzi iva esclusa", "Manodopera", "gross weight", "Total:", "Note"]
+#: A label and, by hand, what it announces.
+_LABELS = [
+    ("Totale documento", "grand_total"), ("Subtotal", "net_taxable"), ("IVA 22%", "vat_rate"), ("VAT amount", "vat_amount"), ("Sconto", "unknown"), ("Sconto merce", "discount"), ("Sconto %", "unknown"), ("Shipping costs", "shipping"), ("Prezzi iva esclusa", "net_taxable"),
+    ("iva non inclusa", "net_taxable"), ("zzgl. MwSt", "net_taxable"), ("I prezzi si intendono al netto", "net_taxable"), ("Manodopera", "labor"), ("main d'oeuvre", "labor"), ("gross weight", "gross"), ("Total:", "grand_total"), ("Total TTC", "grand_total"),
+    ("Imponibile", "net_taxable"), ("Totale imposta", "vat_amount"), ("Totale impegno", "vat_amount"), ("IVA %", "vat_rate"), ("Sconto IVA", "vat_amount"), ("Frais de port", "shipping"), ("Gesamtbetrag", "grand_total"), ("Note", "unknown"),
+]
 
 
 def money_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Label classes over line items that carry one of twelve labels."""
-    labels = F.array(*[F.lit(x) for x in _LABELS])
-    rows = _t(spark, d, "lineitem").select(F.element_at(labels, (F.col("l_partkey") % len(_LABELS) + 1).cast("int")).alias("label"), "l_orderkey")
-    return rows.withColumn("class", M.money_class(F.col("label"))).groupBy("label", "class").agg(F.count("*").alias("n"))
+    """Label classes over line items that carry one of two dozen labels."""
+    labels = F.array(*[F.lit(x) for x, _ in _LABELS])
+    rows = _t(spark, d, "lineitem").select(F.element_at(labels, (F.col("l_partkey") % len(_LABELS) + 1).cast("int")).alias("label"))
+    return rows.groupBy("label").agg(F.count("*").alias("n")).select("label", M.money_class(F.col("label")).alias("class"), "n")
 
 
-_ARRAY = ", ".join(f"'{x}'" for x in _LABELS)
-_RULES = " ".join("WHEN regexp_matches(t, '{}') THEN '{}'".format(p, c) for c, p in M.MONEY_LABELS)
-_LABEL_SQL = f"WITH l AS (SELECT [{_ARRAY}][l_partkey % {len(_LABELS)} + 1] AS label FROM lineitem), m AS (SELECT label, lower(trim(label)) AS t FROM l) SELECT label, CASE {_RULES} ELSE 'unknown' END AS class, count(*) AS n FROM m GROUP BY ALL"
+_LABEL_ROWS = ", ".join("({}, '{}', '{}')".format(i, x.replace("'", "''"), c) for i, (x, c) in enumerate(_LABELS))
+_LABEL_SQL = f"WITH w(i, label, class) AS (VALUES {_LABEL_ROWS}) SELECT label, class, count(*) AS n FROM lineitem JOIN w ON w.i = l_partkey % {len(_LABELS)} GROUP BY ALL"
 
 
 def credit_costs(spark: SparkSession, d: str) -> DataFrame:

@@ -79,6 +79,20 @@ def test_ordinals_and_batches(spark):
     assert L.with_ordinal(spark.range(0), F.desc("id")).count() == 0
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ordinals_over_many_partitions(spark, adaptive):
+    """The bounds between partitions are drawn from samples: every row must still have one ordinal."""
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(60_000).select((F.xxhash64("id") % 997).alias("k"), "id").repartition(120)
+        r = L.with_ordinal(rows, F.asc("k"), F.asc("id"))
+        assert r.agg(F.count("*"), F.countDistinct("ordinal"), F.min("ordinal"), F.max("ordinal")).first() == (60_000, 60_000, 1, 60_000)
+        assert [x.k for x in r.orderBy("ordinal").collect()] == sorted(x.k for x in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
 def test_table(spark):
     cells = [(1, 0, 10.0, 5.0, "Description"), (1, 0, 100.0, 5.0, "Qty"), (1, 0, 200.0, 5.0, "Price"), (1, 0, 300.0, 5.0, "Amount"), (1, 0, 12.0, 60.0, "bolt"), (1, 0, 30.0, 61.0, "m4"), (1, 0, 110.0, 60.0, "3"), (1, 0, 305.0, 62.0, "7,50"), (1, 0, 900.0, 60.0, "99")]
     r = B.table_items(spark.createDataFrame(cells, "doc_id int, page int, x double, y double, text string")).collect()
