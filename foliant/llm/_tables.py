@@ -2,50 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        local = tempfile.mkdtemp(prefix="foliant-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: the lineage ends there, and a lost
-    executor costs only the tasks that it ran."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from foliant.operators.shared import new_path, shared_dir, stored  # noqa: F401
 
 
 def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     """Write ``df`` once to a table in the shared folder with n buckets by ``key`` and read it back: grouping and
-    cogrouping by the key then move the other side alone. ``df`` must give the same rows when a task runs again."""
+    cogrouping by the key then move the other side alone. ``df`` should be dealt out by the key already. The catalog
+    forgets the table at once; its files stay, like all tables there."""
     spark = df.sparkSession
     path = new_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

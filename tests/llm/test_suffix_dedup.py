@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from foliant.llm import suffix_dedup as S
 
@@ -55,6 +56,28 @@ def test_near_matches(spark, monkeypatch):
     assert collected(S.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == plain(rows)
 
 
+def test_anchors_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 5000, dtype=np.uint8)
+    offsets = np.array([0, 0, 30, 700, 702, 760, 4000, 5000])
+    want = S.anchors(data, offsets)
+    for block in (1, 17, 100, 999):
+        monkeypatch.setattr(S, "BLOCK", block)
+        for x, y in zip(S.anchors(data, offsets), want, strict=True):
+            assert (x == y).all()
+
+
+def test_copies_and_a_long_text(spark):
+    """Many copies of one text over many partitions, and a text of megabytes that repeats another's second half."""
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_500_000))
+    rows = [(i, "the same text in very many documents of the table " * 3) for i in range(600)] + [(700, long), (701, long[750_000:] + "tail"), (None, "x" * 60), (5, "x" * 60)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.dedup(spark.createDataFrame([r for r in rows if r[0] not in (0,) and r != rows[5]], "doc_id long, text string").repartition(40)).collect()}
+    assert got[1] == (150, 0, 0)
+    assert all(got[i] == (150, 150, 1) for i in range(2, 600) if i != 5)
+    assert got[700][1] == 0 and got[701] == (750_004, 750_000, 1) and got[None] == (60, 0, 0) and got[5] == (60, 60, 1)
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (1, 2, 3, 7, 16):
