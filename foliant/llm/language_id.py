@@ -6,16 +6,17 @@ in the tasks that read them and adds the sums up in a shuffle; the smoothed log-
 (``BUCKETS`` x languages) is broadcast, and each batch of texts is scored as a sparse matrix of n-gram
 counts times that matrix.
 
-The matrix has a proven bound: at most ``MAX_LANGUAGES`` languages are learned, those with the most training
-rows (ties by name), so it never exceeds BUCKETS * MAX_LANGUAGES * 4 bytes.
+Every language that has a training row is learned. The matrix is made and broadcast in blocks of ``BLOCK``
+languages (BUCKETS * BLOCK * 4 bytes). Up to one block is one pass over the texts; further blocks are scored one after
+the other, and a text's best language and normaliser so far are carried along in a table.
 
 Results for odd rows: a null text, an empty one and one without a letter are ``und`` with score 0. Equal
 log-probabilities go to the language whose name sorts first. Where nothing could be learned (no training
 rows), every row is ``und``. Rows that share a doc_id are judged one by one; an empty table gives no rows.
 Other columns of the input are not read.
 
-``score`` is the posterior of the predicted language where a text counts as ``EVIDENCE`` n-grams at most,
-so it stays below certainty for texts that fit no language well.
+The predicted language has the largest posterior where a text counts as ``EVIDENCE`` n-grams at most, and
+``score`` is that posterior, so it stays below certainty for texts that fit no language well.
 """
 
 from __future__ import annotations
@@ -30,14 +31,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm._bytes import groups_of, mixed
-from foliant.llm._tables import documents, fold_of
+from foliant.llm._tables import documents, fold_of, stored
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
 ALPHA = 0.5
-MAX_LANGUAGES = 256
+BLOCK = 256
+#: Languages whose counters a training task holds at a time.
+HELD = 64
 EVIDENCE = 24.0
 BATCH_BYTES = 1 << 20
+#: n-grams of a batch whose rows of the matrix are gathered at a time.
+STEP = 1 << 16
 UNKNOWN = "und"
 #: Below this score ``keep_identified`` rejects a text.
 LEAST_SCORE = 0.5
@@ -45,7 +50,7 @@ LEAST_SCORE = 0.5
 
 @dataclass(frozen=True)
 class Model:
-    """languages[j] has the log-probabilities matrix[:, j] and the log prior priors[j]."""
+    """languages[j] has the log-probabilities matrix[:, j] and the log prior priors[j]; a block of all languages."""
 
     languages: list[str]
     matrix: np.ndarray
@@ -93,90 +98,116 @@ def _batches(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 def _counting_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in: text, lang. Rows out: lang, bucket, n; bucket -1 counts the texts."""
     found: dict[str, np.ndarray] = {}
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for name, total in found.items():
+            own = np.flatnonzero(total)
+            buckets = np.where(own == BUCKETS, -1, own)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(buckets, pa.int32()), pa.array(total[own], pa.int64())], names=["lang", "bucket", "n"])
+        found.clear()
+
     for batch in batches:
         langs = batch.column(1).to_pylist()
         for first, texts in _batches(batch.column(0)):
             who, what, _ = ngrams(texts)
-            names, own = np.unique(langs[first : first + len(texts)], return_inverse=True)
-            key = own[who] * BUCKETS + what
-            sums = np.bincount(key, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
-            rows = np.bincount(own, minlength=len(names))
+            names, own = np.unique(np.array(langs[first : first + len(texts)], dtype=object), return_inverse=True)
+            key, n = np.unique(own[who] * np.int64(BUCKETS) + what, return_counts=True)
+            cut, rows = np.searchsorted(key, np.arange(len(names) + 1) * np.int64(BUCKETS)), np.bincount(own, minlength=len(names))
             for j, name in enumerate(names.tolist()):
+                if name not in found and len(found) >= HELD:
+                    yield from counted()
                 total = found.setdefault(name, np.zeros(BUCKETS + 1, dtype=np.int64))
-                total[:-1] += sums[j]
+                total[key[cut[j] : cut[j + 1]] - j * BUCKETS] += n[cut[j] : cut[j + 1]]
                 total[-1] += rows[j]
-    for name, total in found.items():
-        own = np.flatnonzero(total)
-        buckets = np.where(own == BUCKETS, -1, own)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(buckets, pa.int32()), pa.array(total[own], pa.int64())], names=["lang", "bucket", "n"])
+    yield from counted()
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Learn from all rows of ``docs`` whose ``lang`` is not null."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", block: int = BLOCK) -> list[Model]:
+    """Learn from all rows of ``docs`` whose ``lang`` is not null: a model for each block of languages by name."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.mapInArrow(_counting_task, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    learned = counts.filter("bucket = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    table = counts.join(F.broadcast(learned), "lang", "left_semi").toArrow()
-    names = sorted(set(table.column("lang").to_pylist()))
-    at = np.searchsorted(np.array(names, dtype=object), np.array(table.column("lang").to_pylist(), dtype=object)) if names else np.zeros(0, int)
-    bucket, n = np.asarray(table.column("bucket")), np.asarray(table.column("n"))
-    full = np.zeros((BUCKETS, len(names)))
-    own = bucket >= 0
-    full[bucket[own], at[own]] = n[own]
-    texts = np.zeros(len(names))
-    texts[at[~own]] = n[~own]
-    matrix = np.log((full + ALPHA) / (full.sum(axis=0) + ALPHA * BUCKETS))
-    return Model(names, matrix.astype(np.float32), np.log(texts / max(1.0, texts.sum())) if names else texts)
-
-
-def score_texts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the best language (-1: none) and the score of each text."""
-    best, score = np.full(len(texts), -1), np.zeros(len(texts))
-    if not model.languages:
-        return best, score
+    counts = stored(rows.mapInArrow(_counting_task, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "ngrams")
+    texts = sorted((r.lang, r.n) for r in counts.filter("bucket = -1").collect())
+    total, models = sum(n for _, n in texts), []
+    for k in range(0, len(texts), block):
+        names = [x for x, _ in texts[k : k + block]]
+        at = docs.sparkSession.createDataFrame([(x, j) for j, x in enumerate(names)], "lang string, j int")
+        table = counts.filter("bucket >= 0").join(F.broadcast(at), "lang").select("bucket", "j", "n").toArrow()
+        full = np.zeros((BUCKETS, len(names)))
+        full[np.asarray(table.column("bucket")), np.asarray(table.column("j"))] = np.asarray(table.column("n"))
+        matrix = np.log((full + ALPHA) / (full.sum(axis=0) + ALPHA * BUCKETS))
+        models.append(Model(names, matrix.astype(np.float32), np.log(np.array([n for _, n in texts[k : k + block]]) / total)))
+    return models
+
+
+def block_scores(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: the block's best language (-1: the text has no letter), its log-posterior up to a constant, the
+    log of the sum over the block's languages, and whether there is a letter."""
     who, what, has_letter = ngrams(texts)
-    key = np.sort(who * BUCKETS + what)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    count = np.diff(np.append(first, len(key)))
-    row, col = key[first] // BUCKETS, key[first] % BUCKETS  # the batch as a sparse matrix
+    key, count = np.unique(who * np.int64(BUCKETS) + what, return_counts=True)
+    row, col = key // BUCKETS, key % BUCKETS  # the batch as a sparse matrix
     sums, total = np.zeros((len(texts), len(model.languages))), np.bincount(row, weights=count, minlength=len(texts))
-    if len(row):
-        cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        sums[row[cut]] = np.add.reduceat(model.matrix[col].astype(np.float64) * count[:, None], cut, axis=0)
-    best = np.where(has_letter, (sums + model.priors).argmax(axis=1), -1)
-    weight = np.minimum(1.0, EVIDENCE / np.maximum(total, 1.0))[:, None]
-    z = sums * weight
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    return best, np.where(best >= 0, p[np.arange(len(texts)), best], 0.0)
-
-
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text give way to ``__row`` columns: (doc_id, lang_pred, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.languages, UNKNOWN], dtype=object)
-        for batch in batches:
-            for first, texts in _batches(batch.column(1)):
-                best, score = score_texts(m, texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(texts)], pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(task, "doc_id long, lang_pred string, score double")
-
-
-def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    for a in range(0, len(row), STEP):
+        part = row[a : a + STEP]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sums[part[cut]] += np.add.reduceat(model.matrix[col[a : a + STEP]].astype(np.float64) * count[a : a + STEP, None], cut, axis=0)
+    z = sums * np.minimum(1.0, EVIDENCE / np.maximum(total, 1.0))[:, None] + model.priors
+    best = z.argmax(axis=1)
+    top = z[np.arange(len(texts)), best]
+    return best, top, top + np.log(np.exp(z - top[:, None]).sum(axis=1)), has_letter
+
+
+def score_texts(models: list[Model], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Name of the best language (UNKNOWN: none) and the score of each text."""
+    name, top, sum_, letter = np.full(len(texts), UNKNOWN, dtype=object), np.full(len(texts), -np.inf), np.full(len(texts), -np.inf), np.zeros(len(texts), bool)
+    for m in models:
+        best, own, log_sum, letter = block_scores(m, texts)
+        better = own > top
+        name[better] = np.array(m.languages, dtype=object)[best[better]]
+        top, sum_ = np.maximum(top, own), np.logaddexp(sum_, log_sum)
+    name[~letter] = UNKNOWN
+    with np.errstate(invalid="ignore"):
+        return name, np.where(letter, np.exp(top - sum_), 0.0)
+
+
+def _passes(docs: DataFrame, models: list[Model], columns: str) -> DataFrame:
+    """``docs`` (columns as in the DDL ``columns``, text among them) with name, top and sum after all blocks."""
+    state = "name string, top double, sum double, letter boolean"
+    rows = docs.select("*", F.lit(UNKNOWN).alias("name"), F.lit(float("-inf")).alias("top"), F.lit(float("-inf")).alias("sum"), F.lit(False).alias("letter"))
+    at = docs.columns.index("text")
+    for k, model in enumerate(models):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            languages = np.array(m.languages, dtype=object)
+            for batch in batches:
+                for first, texts in _batches(batch.column(at)):
+                    part = batch.slice(first, len(texts))
+                    name, top, sum_ = (part.column(i - 4) for i in range(3))
+                    best, own, log_sum, letter = block_scores(m, texts)
+                    before = np.asarray(top)
+                    named = np.where(own > before, languages[best], np.array(name.to_pylist(), dtype=object))
+                    news = [pa.array(named, pa.string()), pa.array(np.maximum(before, own)), pa.array(np.logaddexp(np.asarray(sum_), log_sum)), pa.array(letter)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(batch.num_columns - 4)), *news], names=batch.schema.names)
+
+        rows = rows.mapInArrow(task, f"{columns}, {state}")
+        if k + 1 < len(models):
+            rows = stored(rows, "languages")
+    return rows.withColumns({"name": F.when(F.col("letter"), F.col("name")).otherwise(UNKNOWN), "score": F.when(F.col("letter"), F.exp(F.col("top") - F.col("sum"))).otherwise(0.0)})
+
+
+def identify(docs: DataFrame, models: list[Model], text: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of each row of ``docs``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _passes(rows, models, "doc_id long, text string").select("doc_id", F.col("name").alias("lang_pred"), "score")
+
+
+def keep_identified(docs: DataFrame, models: list[Model], least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose text has a language and a score of ``least`` or more; all columns stay."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in _batches(batch.column(names.index("text"))):
-                best, score = score_texts(shared.value, texts)
-                yield batch.slice(first, len(texts)).filter(pa.array((best >= 0) & (score >= least)))
-
-    return docs.mapInArrow(task, docs.schema)
+    rows = docs.select(*[F.col(c).alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)])
+    ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(rows.columns, docs.schema.fields, strict=True))
+    kept = _passes(rows, models, ddl).filter((F.col("name") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(rows.columns, docs.columns, strict=True)])
 
 
 def training_fold(docs: DataFrame) -> Column:
@@ -186,8 +217,8 @@ def training_fold(docs: DataFrame) -> Column:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = train(docs.filter(training_fold(docs)))
-    return identify(docs, model).select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    models = train(docs.filter(training_fold(docs)))
+    return identify(docs, models).select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op5_language_id": op5_language_id}
