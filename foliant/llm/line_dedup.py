@@ -9,7 +9,8 @@ where each occurs first. A join by hash then drops the texts of all other chunks
 the later occurrences are joined to the first ones by hash and compared byte by byte; both joins have a single row
 for each hash on one side, so adaptive execution can split a hash with very many occurrences. A different text with an equal hash stays.
 
-Results for odd rows: a null or empty text has no lines. Rows that share doc_id and text count as one document
+Results for odd rows: a null or empty text has no lines. The work grows in proportion to a text's lines, also in a
+text of very many. Rows that share doc_id and text count as one document
 (neither takes away the other's lines); a null doc_id comes before all others. An empty table gives no rows.
 Other columns are not read, and ``dedup_lines`` returns them as they are.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.money import let
 from foliant.llm._tables import documents, stored
 
 ROLL = 2
@@ -26,27 +28,46 @@ ROLL = 2
 ENDS = "0123"
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, tk (hash of the text), lines, and chunks: (idx, first, n) with lines counted from 1."""
-    text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")).alias("lines"))
-    hashed = lines.withColumn("h", F.transform("lines", lambda x: F.md5(x.cast("binary"))))
+def _lines(text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
 
-    def last(_: Column, i: Column) -> Column:
-        rolled = F.md5(F.concat(*(F.get("h", i - k) for k in range(ROLL - 1, -1, -1))).cast("binary"))
-        return F.when((i == F.size("lines") - 1) | (F.instr(F.lit(ENDS), F.left(rolled, F.lit(1))) > 0), i + 1)
 
-    ends = hashed.withColumn("ends", F.array_compact(F.transform("h", last)))
-    begin = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0)) + 1
-    chunks = F.transform("ends", lambda e, k: F.struct(k.alias("idx"), begin(k).alias("first"), (e - begin(k) + 1).alias("n")))
-    return ends.select("doc_id", "tk", "lines", chunks.alias("chunks"))
+def _chunks(text: Column, body: bool) -> Column:
+    """Of a text: an array of (idx, first, n) with lines counted from 1 and, if asked for, each chunk's text. Every array
+    on the way is bound once with ``let``: a column used inside a function of another array would be worked out again
+    for each element."""
+
+    def by_lines(lines: Column) -> Column:
+        def by_hashes(h: Column) -> Column:
+            def last(_: Column, i: Column) -> Column:
+                rolled = F.md5(F.concat(*(F.get(h, i - k) for k in range(ROLL - 1, -1, -1))).cast("binary"))
+                return F.when((i == F.size(h) - 1) | (F.instr(F.lit(ENDS), F.left(rolled, F.lit(1))) > 0), i + 1)
+
+            return let(F.array_compact(F.transform(h, last)), by_ends)
+
+        def by_ends(ends: Column) -> Column:
+            def chunk(end: Column, k: Column) -> Column:
+                begin = F.coalesce(F.get(ends, k - 1), F.lit(0)) + 1
+                text = [F.array_join(F.slice(lines, begin, end - begin + 1), "\n").alias("body")] if body else []
+                return F.struct(k.alias("idx"), begin.alias("first"), (end - begin + 1).alias("n"), *text)
+
+            return F.transform(ends, chunk)
+
+        return let(F.transform(lines, lambda x: F.md5(x.cast("binary"))), by_hashes)
+
+    return let(_lines(text), by_lines)
+
+
+def chunked(docs: DataFrame, body: bool = False) -> DataFrame:
+    """doc_id, tk (hash of the text), and chunks: (idx, first, n) with lines counted from 1."""
+    return docs.select("doc_id", F.xxhash64("text").alias("tk"), _chunks(F.col("text"), body).alias("chunks"))
 
 
 def _occurrences(docs: DataFrame, text: bool) -> DataFrame:
-    """A row for each chunk of two lines or more: doc_id, tk, idx, first, n, bytes, h and, if asked for, its text."""
-    rows = chunked(docs).select("doc_id", "tk", "lines", F.explode(F.filter("chunks", lambda c: c["n"] > 1)).alias("c"))
-    body = rows.withColumn("body", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.n")), "\n"))
-    return body.select("doc_id", "tk", "c.*", F.octet_length("body").alias("bytes"), F.xxhash64("body").alias("h"), *(["body"] if text else []))
+    """A row for each chunk of two lines or more: doc_id, tk, idx, first, n, bytes, h and, if asked for, its text. The
+    chunks' texts are cut out before they become rows, so no row carries the lines of the whole text."""
+    rows = chunked(docs, True).select("doc_id", "tk", F.inline(F.filter("chunks", lambda c: c["n"] > 1)))
+    return rows.select("doc_id", "tk", "idx", "first", "n", F.octet_length("body").alias("bytes"), F.xxhash64("body").alias("h"), *(["body"] if text else []))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -74,14 +95,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, the text without its repeated chunks. A null text stays null."""
     gone = removals(docs).select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), F.col("removed").alias("__removed"))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__tk"]), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: ~F.exists("__removed", lambda r: (r["first"] <= i + 1) & (i + 1 < r["first"] + r["n"])))
-    return joined.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+
+    def kept(x: Column) -> Column:
+        """The runs of lines between the removed chunks, one slice each."""
+        begin = lambda k: F.coalesce(F.get(x["gone"], k - 1)["first"] + F.get(x["gone"], k - 1)["n"], F.lit(1))
+        before = F.transform(x["gone"], lambda r, k: F.slice(x["lines"], begin(k), r["first"] - begin(k)))
+        return F.array_join(F.concat(F.flatten(before), F.slice(x["lines"], begin(F.size(x["gone"])), F.size(x["lines"]))), "\n")
+
+    rest = let(F.struct(F.split("text", "\n").alias("lines"), F.col("__removed").alias("gone")), kept)
+    return joined.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    sizes = chunked(docs).select("doc_id", "tk", F.size("lines").cast("long").alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"))
+    n_lines = let(F.col("chunks"), lambda c: F.coalesce(F.try_element_at(c, F.lit(-1))["first"] + F.try_element_at(c, F.lit(-1))["n"] - 1, F.lit(0)))
+    sizes = chunked(docs).select("doc_id", "tk", n_lines.cast("long").alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"))
     gone = removals(docs)
     span = lambda r: F.concat_ws("-", r["first"].cast("string"), (r["first"] + r["n"] - 1).cast("string"))
     joined = sizes.join(gone, _same(sizes, gone), "left")
