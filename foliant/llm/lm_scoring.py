@@ -4,7 +4,8 @@ The probability of a token after its predecessor is a mixture of the maximum-lik
 unigram estimate and the uniform one; the mixture weights depend on how often the context was seen (buckets
 by powers of two). Counts come from all training texts: each segment sends its distinct n-grams with their
 training counts to the owners of hash ranges, which add them up and answer each segment with the totals of
-its n-grams in the same order (so answers carry no keys). Neither a frequent word nor a large source makes a
+its n-grams in the same order (so answers carry no keys). What is sent is a row for each owner that has one of
+the segment's n-grams, so never more rows than distinct n-grams of segments. Neither a frequent word nor a large source makes a
 hot partition, since a segment sends an n-gram once.
 
 The weights are learned by expectation-maximisation on held-out counts: for each training text, the text's
@@ -76,13 +77,21 @@ def _counting_task(bits: int, training: Callable[[int | None], bool]):
         for batch in batches:
             for row in batch.to_pylist():
                 t = Tokens(row, training)
+                rows = []
                 for order, grams, count in ((1, t.word, t.word_count), (2, t.pair, t.pair_count)):
-                    cut = np.searchsorted(grams, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-                    for owner, (g, c) in enumerate(zip(np.split(grams, cut), np.split(count, cut), strict=True)):
-                        if len(g):
-                            yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([owner], pa.int32()), pa.array([row["segment"]]), pa.array([packed(g)], pa.binary()), pa.array([packed_counts(c)], pa.binary())], names=["n", "owner", "segment", "grams", "counts"])
-                texts = int(t.train.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([row["segment"]]), pa.array([packed(np.zeros(1, np.uint64))], pa.binary()), pa.array([packed_counts(np.array([texts]))], pa.binary())], names=["n", "owner", "segment", "grams", "counts"])
+                    own = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+                    cut = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
+                    rows += [(order, int(own[a]), row["segment"], packed(grams[a:b]), packed_counts(count[a:b])) for a, b in zip(cut, cut[1:], strict=False)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["n", "owner", "segment", "grams", "counts"])
+
+    return run
+
+
+def _text_count_task(training: Callable[[int | None], bool]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(training, ids)) for ids in batch.column(0).to_pylist()], pa.int64())], names=["n"])
 
     return run
 
@@ -103,7 +112,7 @@ def _adding_task(rows: pa.Table) -> pa.Table:
     return pa.table({"n": rows.column("n"), "owner": rows.column("owner"), "segment": rows.column("segment"), "answer": pa.array(answers, pa.binary()), "distinct_grams": seen, "total": sums})
 
 
-ANSWERS = "n int, owner int, segment long, answer binary, distinct_grams long, total long"
+ANSWERS = "n int, owner long, segment long, answer binary, distinct_grams long, total long"
 
 
 class Estimates:
@@ -202,11 +211,12 @@ def score(docs: DataFrame, training: Callable[[int | None], bool]) -> DataFrame:
     spark = docs.sparkSession
     bits = max(0, int(np.ceil(np.log2(max(1, text_bytes(docs) / OWNER_BYTES)))))
     segments = text_segments(docs, SEGMENT_BYTES)
-    sent = segments.mapInArrow(_counting_task(bits, training), "n int, owner int, segment long, grams binary, counts binary")
+    sent = segments.mapInArrow(_counting_task(bits, training), "n int, owner long, segment long, grams binary, counts binary")
     answers = stored(sent.groupBy("n", "owner").applyInArrow(_adding_task, ANSWERS), "answers")
     sizes = {r.n: (r.total, r.seen) for r in answers.groupBy("n").agg(F.sum("total").alias("total"), F.sum("distinct_grams").alias("seen")).collect()}
-    size = (sizes.get(1, (0, 0))[0], sizes.get(1, (0, 0))[1], sizes.get(0, (0, 0))[0])
-    own = answers.filter("n > 0").select("n", "owner", "segment", "answer")
+    texts = segments.select("doc_ids").mapInArrow(_text_count_task(training), "n long").agg(F.sum("n")).first()[0] or 0
+    size = (*sizes.get(1, (0, 0)), texts)
+    own = answers.select("n", "owner", "segment", "answer")
     held = segments.groupBy("segment").cogroup(own.groupBy("segment")).applyInArrow(_cells_task(training, size), "cell long, n long")
     cells: pd.DataFrame = held.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
     weights = mixture_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), size[1])
