@@ -1,14 +1,17 @@
 """Near copies by the similarity of word shingles, for the pipeline.
 
 Two texts are near copies if the Jaccard similarity of their sets of ``SHINGLE``-word shingles is at least 0.8.
-The fingerprints of operator 10 can't find these: at 0.8 two fingerprints are far more than 4 bits apart. Instead
-each set gets ``BANDS`` codes, each over the minima of ``ROWS`` random orders of the set, and texts that share a
-code meet in a bucket. A pair at 0.8 shares no code with odds (1 - 0.8 ^ ROWS) ^ BANDS = 5e-8, and closer pairs
-with less. Every link is then checked on the sets themselves.
-
-Texts with equal sets are one node. A bucket first compares each node with its smallest one; what is left are the
-nodes of one bucket that lie in different components, and of these every pair is compared. So no pair that shares a
-bucket is left out, and a group of near copies takes about one comparison for each text.
+Candidates come from operator 10, with fingerprints over the same shingles: its links join texts within 4 bits. At
+0.8 most fingerprints are farther apart than that, so each set also gets ``BANDS`` codes, each over the minima of
+``ROWS`` random orders of the set, and texts that share a code meet in a bucket. A pair at 0.8 shares no code with
+odds (1 - 0.8 ^ ROWS) ^ BANDS = 5e-8, and closer pairs with less. Every link is then checked on the sets themselves.
+
+Texts with equal sets are one node. Two exact bounds come first: a shingle that no other candidate has is in no
+intersection, so a node with over a fifth of such shingles has no near copy, and two nodes can't be near copies if
+the shingles that either shares with others are under 4 / 9 of both sizes. A bucket then compares each node with
+the one that has the least share of shingles of its own (the likely common source). What is left are nodes of a bucket that
+lie in different components; among these an exact prefix filter (``prefix_pairs``) finds the pairs to compare. So no
+pair that shares a bucket is left out, and a group of near copies takes about one comparison for each text.
 
 Results for odd rows: a text of fewer words has one shingle of all of them; null, empty and blank texts have the
 empty set and are near copies of each other. The rest is as in ``simhash.keep_one``. Shingles, sets and rows
@@ -23,7 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from foliant.llm import simhash
 from foliant.llm._bytes import LOWER, mixed, text_groups, word_hashes, word_spans
 from foliant.llm._segments import packed, unpacked
 from foliant.llm._tables import stored
@@ -65,6 +70,19 @@ def codes(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(h: np.ndarray, out: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """The SimHash of each text's shingle hashes; 0 for none. The bits are counted block by block."""
+    n = len(out) - 1
+    counts = np.zeros((n, 64), np.int64)
+    for a in range(0, len(h), block):
+        part = h[a : a + block]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(len(part), 8), axis=1)
+        text = np.searchsorted(out, np.arange(a, a + len(part)), "right") - 1
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        counts[text[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > np.diff(out)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
 def _key(own: np.ndarray) -> int:
     import xxhash
 
@@ -80,7 +98,7 @@ def _signature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             some = np.diff(out) > 0
             own = codes(h, out[:-1][some]) if some.any() else np.zeros((0, BANDS), np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), pa.array(own.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(keys.view(np.int64)), lists], names=["doc_id", "at", "key", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(keys.view(np.int64)), pa.array(fingerprints(h, out).view(np.int64)), lists], names=["doc_id", "at", "key", "fp", "codes"])
             row += n
 
 
@@ -89,11 +107,18 @@ def _set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
         for h, out in shingles(batch.column(1)):
             n = len(out) - 1
-            own = [packed(np.unique(h[a:b])) for a, b in zip(out[:-1], out[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(own, pa.binary())], names=["key", "own"])
+            sets = [np.unique(h[a:b]) for a, b in zip(out[:-1], out[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array([len(x) for x in sets], pa.int64()), pa.array([packed(x) for x in sets], pa.binary())], names=["key", "n", "own"])
             row += n
 
 
+def _shingle_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = unpacked(raw.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), key, np.int64))], names=["shingle", "key"])
+
+
 def _similar_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     p, q = LEAST
     for batch in batches:
@@ -110,33 +135,73 @@ def _row(docs: DataFrame):
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that connect all nodes whose fingerprints are within the radius of operator 10."""
+    fps = stored(nodes.groupBy("fp").agg(F.min("key").alias("lead")), "fingerprints")
+    same = nodes.join(fps, "fp").filter("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    x, y = (fps.select(F.col("fp").alias(k), F.col("lead").alias(f"lead_{k}")) for k in "ab")
+    near = simhash.links(fps.select("fp"), fps.count()).join(x, "a").join(y, "b")
+    return same.unionAll(near.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b")))
+
+
+def prefix_pairs(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes ``left`` (key, n, root) with different roots that may be near copies, without a loss.
+
+    With every set's shingles in one order, the rarest first, near copies share one of their first n - 0.8 n + 1, and
+    behind the first one that they share, at places i and j, both have at least the rest of the common ones. A common
+    shingle is among the first only where a set has few rare ones."""
+    p, q = LEAST
+    tokens = sets.join(left.select("key"), "key").select("key", "own").mapInArrow(_shingle_task, "shingle long, key long")
+    times = tokens.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    own = Window.partitionBy("key")
+    ranked = tokens.join(times, "shingle").withColumns({"at": F.row_number().over(own.orderBy("times", "shingle")), "all": F.count("*").over(own)}).join(left, "key")
+    place = F.col("at") + F.col("n") - F.col("all")  # shingles of one set alone come first
+    first = ranked.withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1).select("shingle", "key", "n", "root", "at")
+    x, y = (first.withColumnsRenamed({"key": k, "n": f"n_{k}", "root": f"root_{k}", "at": f"at_{k}"}) for k in "ab")
+    within = (p + q) * (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) >= p * (F.col("n_a") + F.col("n_b"))
+    return x.join(y, "shingle").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & within).select("a", "b").distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (key, first, at, codes) that connect all near copies."""
+    """Links (a, b) between nodes (key, first, at, fp, codes) that connect all near copies."""
+    close = stored(simhash_pairs(nodes), "close")
     held = nodes.select("key", F.explode("codes").alias("code"))
-    least = held.groupBy("code").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").drop("most")
-    shared = stored(held.join(least, "code"), "buckets")
-    wanted = shared.select("key").distinct().join(nodes.select("key", "at"), "key")
+    several = held.groupBy("code").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("code")
+    shared = stored(held.join(several, "code"), "buckets")
+    wanted = shared.select("key").unionAll(close.select("a")).unionAll(close.select("b")).distinct().join(nodes.select("key", "at"), "key")
     texts = docs.select(_row(docs).alias("at"), "text").join(wanted, "at").select("key", "text")
-    sets = stored(texts.mapInArrow(_set_task, "key long, own binary").dropDuplicates(["key"]), "sets")
+    sets = stored(texts.mapInArrow(_set_task, "key long, n long, own binary").dropDuplicates(["key"]), "sets")
+    # shingles of one node alone are in no intersection
+    seen = sets.select("key", "own").mapInArrow(_shingle_task, "shingle long, key long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("key").alias("key"))
+    alone = seen.filter("times = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    sized = sets.select("key", "n").join(alone, "key", "left").select("key", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    able = stored(sized.filter(LEAST[1] * F.col("common") >= LEAST[0] * F.col("n")), "able")
+    bound = (LEAST[0] + LEAST[1]) * F.least("common_a", "common_b") >= LEAST[0] * (F.col("n_a") + F.col("n_b"))
+
+    def named(df: DataFrame, k: str) -> DataFrame:
+        return df.withColumnsRenamed({"key": k, **{c: f"{c}_{k}" for c in ("n", "common", "root")}})
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         x, y = (sets.select(F.col("key").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
         return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b").mapInArrow(_similar_task, "a long, b long"), name)
 
-    tried = stored(shared.filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    open_ = stored(shared.join(able, "key"), "open")
+    centre = open_.groupBy("code").agg(F.min(F.struct((1 - F.col("common") / F.col("n")).alias("alone"), "key", "n", "common")).alias("c"))
+    starred = open_.join(centre, "code").filter("key <> c.key").select(F.col("c.key").alias("a"), F.col("key").alias("b"), F.col("c.n").alias("n_a"), F.col("n").alias("n_b"), F.col("c.common").alias("common_a"), F.col("common").alias("common_b"))
+    linked = close.join(named(able, "a"), "a").join(named(able, "b"), "b").select(*starred.columns)
+    tried = stored(starred.unionAll(linked).filter(bound).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     found = similar(tried, "links")
-    rooted = shared.select("code", "key").join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = open_.join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     apart = rooted.groupBy("code").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("code")
-    left = stored(rooted.join(apart, "code"), "apart")
-    x, y = (left.select("code", F.col("key").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
-    rest = x.join(y, "code").filter("a < b AND root_a <> root_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    left = stored(rooted.join(apart, "code").select("key", "n", "root").distinct(), "apart")
+    rest = prefix_pairs(sets, left).join(tried, ["a", "b"], "left_anti")
     return found.unionAll(similar(stored(rest, "pairs"), "links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id of each group of near copies; all columns stay."""
-    signed = docs.select("doc_id", _row(docs).alias("at"), "text").mapInArrow(_signature_task, "doc_id long, at long, key long, codes array<long>")
-    nodes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("codes").alias("codes")), "nodes")
+    signed = docs.select("doc_id", _row(docs).alias("at"), "text").mapInArrow(_signature_task, "doc_id long, at long, key long, fp long, codes array<long>")
+    nodes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("fp").alias("fp"), F.first("codes").alias("codes")), "nodes")
     roots = components(links(docs, nodes))
     rooted = nodes.select("key", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("__kept")).select("__kept").distinct()
