@@ -11,6 +11,7 @@ MODULES: list[str] = [
     "foliant.plans.linking",
     "foliant.plans.pages",
     "foliant.plans.parsing",
+    "foliant.plans.checks",
 ]
 
 
