@@ -66,6 +66,11 @@ def day_text(day: Column, locale: str) -> Column:
     return F.date_format(day, "MM/dd/yyyy" if locale == "en" else "dd/MM/yyyy")
 
 
+def time_text(at: Column, locale: str) -> Column:
+    """Day and minute; an empty text for none."""
+    return F.coalesce(F.concat(day_text(at, locale), F.lit(" "), F.date_format(at, "HH:mm")), F.lit(""))
+
+
 def fingerprint(*columns: Column) -> Column:
     """sha-256 of a row's canonical JSON."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)

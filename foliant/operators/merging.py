@@ -78,3 +78,8 @@ def fold_agreement(candidates: DataFrame, keys: list[str], value: str, score: st
 def best_attempt(attempts: DataFrame, key: str, index: str, score: str) -> DataFrame:
     """The attempt with the highest score; the earliest of equal ones."""
     return attempts.groupBy(key).agg(F.max_by(index, F.struct(F.col(score), -F.col(index))).alias(index), F.max(score).alias(score))
+
+
+def decision_counts(rows: DataFrame, key: str, decision: str) -> DataFrame:
+    """How many decisions of each kind a key has; other values don't count."""
+    return rows.groupBy(key).agg(*[F.count_if(F.col(decision) == x).alias(x) for x in ("pending", "accepted", "rejected", "manual")])

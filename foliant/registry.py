@@ -12,6 +12,7 @@ MODULES: list[str] = [
     "foliant.plans.pages",
     "foliant.plans.parsing",
     "foliant.plans.checks",
+    "foliant.plans.fields",
 ]
 
 
