@@ -13,6 +13,7 @@ MODULES: list[str] = [
     "foliant.plans.parsing",
     "foliant.plans.checks",
     "foliant.plans.fields",
+    "foliant.plans.documents",
 ]
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import documents as K
 from foliant.functions import fields as C
 from foliant.operators import ordered as O
 
@@ -76,3 +77,12 @@ def test_leases_are_given_back_once(spark):
     asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "c"), (4, None)], "at long, lease string")
     found = {x["at"]: x["released"] for x in O.give_back(leases, asked, "lease", "at").collect()}
     assert found == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_documents_without_values(spark):
+    x, none = F.lit(None).cast("string"), F.lit(None).cast("double")
+    row = spark.range(1).select(
+        K.strict_day(x, F.lit(None).cast("boolean"))["status"].alias("day"), K.may_apply(x, F.lit(None).cast("boolean")).alias("applies"), K.is_item(x, x, none, none, none).alias("item"), K.is_no_item(x).alias("no_item"),
+        K.schema_score(F.array().cast("array<struct<kind:string,x:double>>"))["confidence"].alias("schema"), K.safe_emails(F.lit(None).cast("array<string>"), F.lit(None).cast("array<struct<value:string,status:string,review:boolean,confirmed:boolean,origin:string>>")).alias("emails"),
+    ).first()
+    assert tuple(row) == ("missing", False, False, True, "weak", [])
