@@ -16,6 +16,7 @@ MODULES = [
     "suffix_dedup",
     "mixing",
     "line_dedup",
+    "lexical_search",
     "spelling",
 ]
 
