@@ -17,6 +17,7 @@ MODULES = [
     "mixing",
     "line_dedup",
     "lexical_search",
+    "jaccard_join",
     "spelling",
 ]
 
