@@ -34,7 +34,7 @@ SETTLEMENT = r"\b(?:acconto|anticipo|caparra|deposito|deposit|advance\s+payment|
 
 
 def _has(text: Column, *patterns: str) -> Column:
-    return text.rlike("(?i)" + "|".join(patterns))
+    return text.rlike("(?iu)" + "|".join(patterns))
 
 
 def category_of(kind: Column) -> Column:

@@ -12,7 +12,7 @@ from foliant.functions.fields import day_only
 BOM, CRLF = "﻿", "\r\n"
 
 # Fixed value: names of fields that are not for export.
-INTERNAL_FIELD = r"(?i)raw|confidence|evidence|debug|ocr|parser|review|coherence"
+INTERNAL_FIELD = r"(?iu)raw|confidence|evidence|debug|ocr|parser|review|coherence"
 
 
 def csv_cell(value: Column) -> Column:

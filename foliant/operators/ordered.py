@@ -16,7 +16,7 @@ from foliant.functions.parsing import _DATE, date_role, date_role_confidence
 # Limits of reading, the rows that speak of shipping, and the amounts that count as one.
 MOST_LINES, MOST_CHARS = 120, 180
 SCAN_LINES, HEAD, TAIL = 80, 24, 16
-SHIPPING = r"(?i)\b(?:trasporto|transport|shipping|spedizione|porto|freight|log[ií]stica)\b"
+SHIPPING = r"(?iu)\b(?:trasporto|transport|shipping|spedizione|porto|freight|log[ií]stica)\b"
 SAME = 0.05
 ISSUE_ORDER = {"order": ["order", "issue", "document"], "invoice": ["issue", "document", "order"], "quote": ["issue", "document", "order"], "quotation": ["issue", "document", "order"]}
 
@@ -70,7 +70,7 @@ def join_continued(lines: DataFrame, page: list[str], order: str, text: str, unf
     w = Window.partitionBy(*page).orderBy(order)
     words = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""))
     fit = lines.withColumn("__fit", words.between(1, 6) & ~F.coalesce(unfit, F.lit(False)))
-    able = fit.withColumn("__able", F.coalesce(F.trim(text).rlike(r"(?i)^e\s+") & F.lag("__fit").over(w), F.lit(False)))
+    able = fit.withColumn("__able", F.coalesce(F.trim(text).rlike(r"(?iu)^e\s+") & F.lag("__fit").over(w), F.lit(False)))
     islands = able.withColumn("__island", F.sum((~F.col("__able")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # the line that opens an island stands at 1, its candidates at 2, 3, ...
     at = F.row_number().over(Window.partitionBy(*page, "__island").orderBy(order)) - F.when(F.col("__island") > 0, 1).otherwise(0)

@@ -35,7 +35,7 @@ def vcard_fields(payload: Column) -> Column:
 
 def mecard_fields(payload: Column) -> Column:
     """map(property -> value) of a MECARD string."""
-    body = F.regexp_extract(payload, r"(?i)^MECARD:(.*?);?;?$", 1)
+    body = F.regexp_extract(payload, r"(?iu)^MECARD:(.*?);?;?$", 1)
     return F.str_to_map(body, F.lit(";"), F.lit(":"))
 
 

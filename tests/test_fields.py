@@ -86,3 +86,15 @@ def test_documents_without_values(spark):
         K.schema_score(F.array().cast("array<struct<kind:string,x:double>>"))["confidence"].alias("schema"), K.safe_emails(F.lit(None).cast("array<string>"), F.lit(None).cast("array<struct<value:string,status:string,review:boolean,confirmed:boolean,origin:string>>")).alias("emails"),
     ).first()
     assert tuple(row) == ("missing", False, False, True, "weak", [])
+
+
+def test_accented_capitals(spark):
+    texts = ["VALIDITÀ OFFERTA 30 GG", "validità offerta 30 gg", "TOTAL 3 AÑOS", "ÜBERTRAG", "Übertrag", "Q.TÀ", "q.tà"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    kept = [r.t for r in rows.filter(K.is_item(F.col("t"), F.lit(None).cast("string"), F.lit(1.0), F.lit(None).cast("double"), F.lit(None).cast("double")) & ~K.is_no_item(F.col("t"))).collect()]
+    assert kept == []
+    places = spark.createDataFrame([("Via Roma 1, ESPAÑA",), ("VIA ROMA, LOCALITÀ PIANO",), ("LOCALITÀ PIANO",), ("Taichung, via Roma",), ("Via Roma 1",)], "t string")
+    assert [r.i for r in places.select(C.is_italian_address(F.col("t"), F.lit("")).alias("i")).collect()] == [False, True, True, False, True]
+    names = ["India", "CHINA", "Côte d’Ivoire", "Bosnia-Herzegovina", "España", "Österreich", "Republic of Korea", "P.R. China", None]
+    codes = [r.k for r in spark.createDataFrame([(n,) for n in names], "t string").select(C.country_code(F.col("t")).alias("k")).collect()]
+    assert codes == ["IN", "CN", "CI", "BA", "ES", "AT", "KR", None, None]
