@@ -14,6 +14,7 @@ MODULES: list[str] = [
     "foliant.plans.checks",
     "foliant.plans.fields",
     "foliant.plans.documents",
+    "foliant.plans.regions",
 ]
 
 
