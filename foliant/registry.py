@@ -15,6 +15,7 @@ MODULES: list[str] = [
     "foliant.plans.fields",
     "foliant.plans.documents",
     "foliant.plans.regions",
+    "foliant.plans.repairs",
 ]
 
 
