@@ -16,6 +16,7 @@ MODULES: list[str] = [
     "foliant.plans.documents",
     "foliant.plans.regions",
     "foliant.plans.repairs",
+    "foliant.plans.cells",
 ]
 
 
