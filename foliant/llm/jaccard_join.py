@@ -10,9 +10,10 @@ the prefix is extended until all parts and the single tokens stand for t + 1. Th
 from the band of sizes; a set close below the next band takes part in that, too. With k up to 3, only sets of three and fewer tokens
 can fall short, and these link with equal sets alone, which are one node from the start.
 
-Classes come from counts: of all sets' first t + 1 tokens by hash, and of all tokens of the sets that hold a frequent one there,
-until no further set does. Sets that share a signature are candidates, and each link is verified on the sets. Of a signature's sets
-not all pairs are taken: in a round its ``2 ^ round`` most shared sets are compared with all the others that they are not
+Classes come from counts: of all sets' first tokens by hash, some more than t + 1, and of all tokens of the sets that have too few rare
+ones there, until there is no further one. Sets that share a signature are candidates; bitmaps of tokens rule most
+false ones out without a loss, and each link is verified on the sets. Of a signature's sets not all pairs are
+taken: in a round its most shared sets, ``LEADS`` times more from round to round, are compared with all the others that they are not
 connected with yet, then leave it, until all its sets are connected or none is left. So a group of near copies
 takes about one comparison for each text, and every pair is linked, connected otherwise, or verified not to be one.
 
@@ -49,8 +50,12 @@ CLASSES = 64, 1 << 17
 PART = 8
 #: Signatures of a set by which near copies are connected first.
 FIRST = 4
-#: Frequent tokens that are broadcast (9 bytes each); more are joined.
+#: Of frequent tokens (9 bytes each) and rows of texts (16 to 33 bytes) so many are broadcast; more are joined.
 BROADCAST = 1 << 20
+#: Tokens beyond a prefix of single ones that are kept, for each so many tokens of a set, and so many at least.
+SLACK = 16
+#: By so many times more sets of a signature are compared with the others in each round.
+LEADS = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,27 +98,41 @@ def _prefix(tokens: np.ndarray, part: np.ndarray, k: int, missing: int) -> tuple
     return size, int(stands[size - 1]) if size else 0
 
 
-def signatures(own: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """The signatures of a set: its tokens, ascending, and the class of each."""
-    n = len(own)
-    if n < 4:
-        return np.zeros(0, np.uint64)
-    want = needed(n)
-    out = [own[kinds == 1][:want]]
-    if len(out[0]) < want:
+def signatures(own: np.ndarray, kinds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The single tokens and the combinations of a set of n tokens: its first ones, ascending, and the class of each."""
+    want, combined = needed(n), []
+    single = own[kinds == 1][:want]
+    if len(own) and len(single) < want:
         for least in bands(n):
-            missing, parts = want - len(out[0]), max(1, least // PART)
+            missing, parts = want - len(single), max(1, least // PART)
             for k in (2, 3):
                 tokens = own[kinds == k]
                 part = (mixed(tokens ^ np.uint64(least)) % np.uint64(parts)).astype(np.int64)
                 size, stands = _prefix(tokens, part, k, missing)
-                out.append(_combinations(tokens[:size], part[:size], k, least))
+                combined.append(_combinations(tokens[:size], part[:size], k, least))
                 missing -= stands
                 if missing <= 0:
                     break
             if missing > 0:
                 raise AssertionError("a prefix stands for too few differences")
-    return np.unique(np.concatenate(out))
+    return single, np.unique(np.concatenate(combined)) if combined else np.zeros(0, np.uint64)
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """A bit for each residue that a token has, of four or more times as many as there are tokens."""
+    size = max(64, 1 << (4 * len(own) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(own & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(x: bytes, n_x: int, y: bytes, n_y: int) -> bool:
+    """Whether sets of these bitmaps and sizes can be similar: a bit of one alone is a token of that one alone."""
+    x, y = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool), np.unpackbits(np.frombuffer(y, np.uint8)).astype(bool)
+    size = min(len(x), len(y))
+    x, y = x.reshape(-1, size).any(axis=0), y.reshape(-1, size).any(axis=0)
+    both = min(n_x - int((x & ~y).sum()), n_y - int((y & ~x).sum()))
+    return (100 + LEAST) * both >= LEAST * (n_x + n_y)
 
 
 def _signed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,22 +142,28 @@ def _signed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(out) - 1
             sets = [np.unique(h[a:b]) for a, b in zip(out[:-1], out[1:], strict=True)]
             keys = np.fromiter((N._key(x) for x in sets), np.uint64, n)
-            first = [packed(x[: needed(len(x))] if len(x) > 3 else x[:0]) for x in sets]
-            columns = [batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(keys.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "key", "n", "own"])
+            first = [packed(x[: needed(len(x)) + max(SLACK, len(x) // SLACK)] if len(x) > 3 else x[:0]) for x in sets]
+            columns = [batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(keys.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.binary()), pa.array([bitmap(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "key", "n", "own", "bits"])
             row += n
 
 
 def signed_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, key, n, own) of each row: the row's number, its set's number and size, and its first tokens."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), N._row(docs).alias("at"), "text").mapInArrow(_signed_task, "doc_id long, at long, key long, n long, own binary")
+    """(doc_id, at, key, n, own, bits) of each row: the row's number, its set's number and size, its first tokens by hash, some
+    more than a prefix of single tokens takes, and its bitmap."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), N._row(docs).alias("at"), "text").mapInArrow(_signed_task, "doc_id long, at long, key long, n long, own binary, bits binary")
 
 
-def sets_of(docs: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, n, own) of the given sets with all their tokens, each once."""
-    lead = signed.join(keys, "key").groupBy("key").agg(F.min("at").alias("at"))
-    texts = docs.select(N._row(docs).alias("at"), "text").join(lead, "at").dropDuplicates(["at"]).select("key", "text")
-    return texts.mapInArrow(N._set_task, "key long, n long, own binary")
+def texts_at(docs: DataFrame, rows: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """The texts of the rows with the given numbers ``at``."""
+    wanted = rows.select("at").distinct()
+    return docs.select(N._row(docs).alias("at"), "text").join(F.broadcast(wanted) if wanted.count() <= most else wanted, "at")
+
+
+def sets_of(docs: DataFrame, signed: DataFrame, keys: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """(key, n, own) of the given sets with all their tokens; a row that is there several times gives as many."""
+    lead = stored(signed.join(keys, "key").groupBy("key").agg(F.min("at").alias("at")), "leads")
+    return texts_at(docs, lead, most).join(F.broadcast(lead) if lead.count() <= most else lead, "at").select("key", "text").mapInArrow(N._set_task, "key long, n long, own binary")
 
 
 def tokens_of(sets: DataFrame) -> DataFrame:
@@ -163,8 +188,8 @@ def _kinds(own: np.ndarray, tokens: np.ndarray, kinds: np.ndarray) -> np.ndarray
 def _kinds_task(shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for k, raw in enumerate(batch.column(2)):
+            found, short = [], []
+            for k, (n, raw) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 if shared is not None:
                     tokens, kinds = shared.value
                 else:
@@ -173,17 +198,18 @@ def _kinds_task(shared=None):
                     order = np.argsort(tokens)
                     tokens, kinds = tokens[order], kinds[order]
                 found.append(_kinds(unpacked(raw.as_buffer()), tokens, kinds))
-            hot = pa.array([bool((x > 1).any()) for x in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in found], pa.binary()), hot], names=["key", "n", "own", "kinds", "hot"])
+                short.append(n > 3 and len(found[-1]) < n and int((found[-1] == 1).sum()) < needed(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in found], pa.binary()), pa.array(short, pa.bool_())], names=["key", "n", "own", "kinds", "short"])
 
     return run
 
 
 def classified(sets: DataFrame, common: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """(key, n, own, kinds, hot): the classes of a set's tokens, a byte for each, and whether one is frequent."""
-    schema, sets = "key long, n long, own binary, kinds binary, hot boolean", sets.select("key", "n", "own")
+    """(key, n, own, kinds, short): the classes of a set's tokens, a byte for each, and whether they are too few for a prefix of
+    single tokens, and not all."""
+    schema, sets = "key long, n long, own binary, kinds binary, short boolean", sets.select("key", "n", "own")
     if common.count() <= most:
-        rows = common.orderBy("shingle").toArrow()
+        rows = common.toArrow()
         tokens = np.asarray(rows.column("shingle")).view(np.uint64)
         order = np.argsort(tokens)
         return sets.mapInArrow(_kinds_task(sets.sparkSession.sparkContext.broadcast((tokens[order], np.asarray(rows.column("kind")).astype(np.uint8)[order]))), schema)
@@ -193,62 +219,82 @@ def classified(sets: DataFrame, common: DataFrame, most: int = BROADCAST) -> Dat
 
 def _signature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, own, kinds in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            found = signatures(unpacked(own.as_buffer()), np.frombuffer(kinds.as_buffer(), np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), key, np.int64))], names=["sig", "key"])
+        for key, n, own, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            single, combined = signatures(unpacked(own.as_buffer()), np.frombuffer(kinds.as_buffer(), np.uint8), n)
+            sigs = np.concatenate([single, combined]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.full(len(sigs), key, np.int64)), pa.array(np.arange(len(sigs)) < len(single))], names=["sig", "key", "single"])
 
 
-def signature_rows(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) -> tuple[DataFrame, DataFrame]:
-    """(sig, key) of the signatures that several sets have, and the sets (key, n, own) that hold frequent tokens."""
+def signature_rows(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """(sig, key) of the signatures that several sets have."""
     common = stored(frequent(signed), "frequent")
-    hot = []
+    whole = []
     while True:
         classes = classified(signed, common, most)
-        keys = classes.filter("hot").select("key").distinct()
-        keys = stored(reduce(lambda df, done: df.join(done.select("key"), "key", "left_anti"), hot, keys), "hot")
+        keys = classes.filter("short").select("key").distinct()
+        keys = stored(reduce(lambda df, done: df.join(done.select("key"), "key", "left_anti"), whole, keys), "short")
         if keys.isEmpty():
             break
-        hot.append(stored(sets_of(docs, signed, keys), "sets"))
-        common = stored(common.unionAll(frequent(hot[-1])).groupBy("shingle").agg(F.max("kind").alias("kind")), "frequent")
-    single = classes.filter("NOT hot").select("key", "own").mapInArrow(N._shingle_task, "sig long, key long")
-    if hot:
-        hot = stored(reduce(DataFrame.unionAll, hot), "sets")
-        found = classified(hot, common, most).mapInArrow(_signature_task, "sig long, key long")
-    else:
-        hot = sets_of(docs, signed, signed.select("key").limit(0))
-        found = signed.sparkSession.createDataFrame([], "sig long, key long")
+        whole.append(stored(sets_of(docs, signed, keys, most), "sets"))
+        common = stored(common.unionAll(frequent(whole[-1])).groupBy("shingle").agg(F.max("kind").alias("kind")), "frequent")
+    ready = [classes.filter("NOT short"), *(classified(sets, common, most) for sets in whole)]
+    rows = reduce(DataFrame.unionAll, [x.mapInArrow(_signature_task, "sig long, key long, single boolean") for x in ready])
     # single tokens have few holders, so that one window tells which are shared; combinations may have very many
-    rows = stored(found, "signatures")
-    several = rows.groupBy("sig").agg(F.count("*").alias("holders"), F.min("key").alias("low"), F.max("key").alias("high"))
-    crowded = several.filter(F.col("holders") > CLASSES[0])
     own = Window.partitionBy("sig")
-    few = rows.join(crowded.select("sig"), "sig", "left_anti").unionAll(single)
-    few = few.withColumns({"low": F.min("key").over(own), "high": F.max("key").over(own)}).filter("low < high").select("sig", "key").distinct()
-    return few.unionAll(rows.join(crowded.filter("low < high").select("sig"), "sig")), hot
+    few = rows.filter("single").withColumns({"low": F.min("key").over(own), "high": F.max("key").over(own)}).filter("low < high").select("sig", "key")
+    many = rows.filter("NOT single").select("sig", "key")
+    several = many.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("sig")
+    return few.unionAll(many.join(several, "sig")).distinct()
+
+
+def _bitmap_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, n_a, n_b, x, y = (batch.column(k).to_pylist() for k in range(6))
+        able = [may_link(*args) for args in zip(x, n_a, y, n_b, strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(able, pa.bool_()))
+
+
+def _at_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in N._set_task(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["at", "own"])
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """Those of the pairs (a, b) of ``nodes`` (key, at, n, bits) that are similar enough; bitmaps first, then the sets, of which one
+    from either end meets the other once."""
+    x, y = (nodes.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
+    able = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bitmap_task, "a long, b long")
+    able = stored(able, "able")
+    at = nodes.select("key", "at")
+    ends = able.select(F.explode(F.array(F.struct("a", "b", F.col("a").alias("key")), F.struct("a", "b", F.col("b").alias("key")))).alias("e")).select("e.*").join(at, "key")
+    ends = stored(ends.select("at", "a", "b", (F.col("key") == F.col("a")).alias("first")), "ends")
+    sets = texts_at(docs, ends, most).select("at", "text").mapInArrow(_at_task, "at long, own binary")
+    sent = sets.join(F.broadcast(ends) if ends.count() <= most else ends, "at")
+    met = sent.groupBy("a", "b").agg(F.first(F.when(F.col("first"), F.col("own")), True).alias("own_a"), F.first(F.when(~F.col("first"), F.col("own")), True).alias("own_b"))
+    return met.mapInArrow(N._similar_task, "a long, b long")
 
 
 def links(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) -> DataFrame:
     """(node, root) over the sets that have links: the smallest set that each is connected with."""
-    rows, hot = signature_rows(docs, signed, most)
-    sizes = signed.groupBy("key").agg(F.first("n").alias("n"))
-    coded = rows.groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("sigs")).join(sizes, "key")
-    coded = stored(coded.withColumn("rank", F.size("sigs") / F.col("n")), "coded")
-    rest = coded.select("key").join(hot.select("key"), "key", "left_anti")
-    sets = stored(hot.join(coded.select("key"), "key", "left_semi").unionAll(sets_of(docs, signed, rest)).select("key", "own"), "sets")
-    spark, tried, edges, roots = docs.sparkSession, [], None, None
-    x, y = (sets.select(F.col("key").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
+    coded = signature_rows(docs, signed, most).groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+    nodes = signed.groupBy("key").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    coded = stored(coded.join(nodes, "key").withColumn("rank", F.size("sigs") / F.col("n")), "coded")
+    nodes, coded = coded.select("key", "at", "n", "bits"), coded.select("key", "n", "rank", "sigs")
+    tried, roots = [], None
     held = coded.select("key", "n", "rank", F.col("key").alias("root"), F.explode(F.slice("sigs", 1, FIRST)).alias("sig"))
     for step in count():
         # the first step takes few signatures; what they connect needs no comparison later on
         leads = held.withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("rank"), "key")))
-        leads = leads.filter(F.col("place") <= (1 << max(0, step - 1))).select("sig", F.col("key").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"))
+        leads = leads.filter(F.col("place") <= LEADS ** max(0, step - 1)).select("sig", F.col("key").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"))
         able = (F.col("root") != F.col("lead_root")) & (100 * F.least("n", "lead_n") >= LEAST * F.greatest("n", "lead_n"))
         pairs = held.join(leads, "sig").filter(able).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
         pairs = stored(reduce(lambda df, done: df.join(done, ["a", "b"], "left_anti"), tried, pairs), "pairs")
         tried.append(pairs)
-        found = pairs.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b").mapInArrow(N._similar_task, "a long, b long")
-        edges = found if edges is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)
-        roots = components(edges)
+        found = stored(verified(docs, nodes, pairs, most), "links")
+        if roots is None:
+            roots = components(found)
+        elif not found.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
         at = roots.select(F.col("node").alias("key"), F.col("root").alias("known"))
         if step == 0:
             rooted = coded.join(at, "key", "left").select("key", "n", "rank", F.coalesce("known", "key").alias("root"), F.explode("sigs").alias("sig"))
