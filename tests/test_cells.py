@@ -84,3 +84,19 @@ def test_scan_has_no_page_in_memory(spark):
     rows = spark.createDataFrame([], "page long, id long, candidates array<struct<slot:string,score:double>>")
     plan = C.greedy(rows, "page", ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "FlatMapGroups" not in plan
+
+
+def test_headers_go_on_over_pages(spark):
+    from foliant.operators.tables import table_items
+
+    head = [(10.0, 0.0, "Descrizione"), (200.0, 0.0, "Qta"), (300.0, 0.0, "Prezzo")]
+    row = [(10.0, 60.0, "wood"), (200.0, 60.0, "2"), (300.0, 60.0, "5,00")]
+    other = [(10.0, 0.0, "Qta"), (200.0, 0.0, "Descrizione")]
+    pages = [("a", 1, 0.0, row), ("a", 2, 0.0, head + row), ("a", 3, 50.0, row), ("a", 4, -5.0, [*row, (700.0, 60.0, "far")]), ("a", 6, 0.0, other + row), ("a", 7, 0.0, row), ("b", 9, 0.0, row)]
+    cells = [(d, p, x + dx, y, t) for d, p, dx, xs in pages for x, y, t in xs]
+    frame = spark.createDataFrame(cells, "doc_id string, page int, x double, y double, text string")
+    found = {(x.doc_id, x.page): (x.description, x.quantity, x.price) for x in table_items(frame, reach=30.0, inherit=True).collect()}
+    full = ("wood", 2.0, 5.0)
+    assert found == {("a", 2): full, ("a", 3): full, ("a", 4): full, ("a", 6): ("2", None, None), ("a", 7): ("2", None, None)}
+    assert {(x.doc_id, x.page) for x in table_items(frame, reach=30.0).collect()} == {("a", 2), ("a", 6)}
+    assert table_items(frame.limit(0), inherit=True).count() == 0
