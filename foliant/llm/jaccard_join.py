@@ -238,7 +238,7 @@ def signature_rows(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) ->
         whole.append(stored(sets_of(docs, signed, keys, most), "sets"))
         common = stored(common.unionAll(frequent(whole[-1])).groupBy("shingle").agg(F.max("kind").alias("kind")), "frequent")
     ready = [classes.filter("NOT short"), *(classified(sets, common, most) for sets in whole)]
-    rows = reduce(DataFrame.unionAll, [x.mapInArrow(_signature_task, "sig long, key long, single boolean") for x in ready])
+    rows = stored(reduce(DataFrame.unionAll, [x.mapInArrow(_signature_task, "sig long, key long, single boolean") for x in ready]), "signatures")
     # single tokens have few holders, so that one window tells which are shared; combinations may have very many
     own = Window.partitionBy("sig")
     few = rows.filter("single").withColumns({"low": F.min("key").over(own), "high": F.max("key").over(own)}).filter("low < high").select("sig", "key")
