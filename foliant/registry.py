@@ -17,6 +17,7 @@ MODULES: list[str] = [
     "foliant.plans.regions",
     "foliant.plans.repairs",
     "foliant.plans.cells",
+    "foliant.plans.labels",
 ]
 
 
