@@ -274,9 +274,17 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, most: int = BR
     return met.mapInArrow(N._similar_task, "a long, b long")
 
 
+def telling(rows: DataFrame) -> DataFrame:
+    """Of (sig, key, root) the signatures whose sets are not all connected; of several with the same sets one alone, such as of
+    those that a passage brings."""
+    alike = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    return alike.filter("low < high").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+
+
 def links(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) -> DataFrame:
     """(node, root) over the sets that have links: the smallest set that each is connected with."""
-    coded = signature_rows(docs, signed, most).groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+    rows = stored(signature_rows(docs, signed, most), "shared")
+    coded = rows.join(telling(rows.withColumn("root", F.col("key"))), "sig").groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
     nodes = signed.groupBy("key").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     coded = stored(coded.join(nodes, "key").withColumn("rank", F.size("sigs") / F.col("n")), "coded")
     nodes, coded = coded.select("key", "at", "n", "bits"), coded.select("key", "n", "rank", "sigs")
@@ -301,8 +309,7 @@ def links(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) -> DataFram
         else:
             left = held.join(leads.select("sig", F.col("lead").alias("key")), ["sig", "key"], "left_anti")
             rooted = left.join(at, "key", "left").withColumn("root", F.coalesce("known", "root")).select("key", "n", "rank", "root", "sig")
-        apart = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
-        held = stored(rooted.join(apart, "sig"), "held")
+        held = stored(rooted.join(telling(rooted), "sig"), "held")
         if held.isEmpty():
             return roots
 
