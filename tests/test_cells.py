@@ -100,3 +100,28 @@ def test_headers_go_on_over_pages(spark):
     assert found == {("a", 2): full, ("a", 3): full, ("a", 4): full, ("a", 6): ("2", None, None), ("a", 7): ("2", None, None)}
     assert {(x.doc_id, x.page) for x in table_items(frame, reach=30.0).collect()} == {("a", 2), ("a", 6)}
     assert table_items(frame.limit(0), inherit=True).count() == 0
+
+
+def test_levels(spark):
+    from foliant.operators.levels import select_level
+
+    none = None
+    docs = {
+        1: (["a", "SUMMARY"], [(0, "wooden table", 2.0, 5.0, 10.0), (0, "steel frame", 1.0, 5.0, 5.0), (1, "wooden table steel frame", none, none, 15.0)], 15.0),
+        2: (["a", "Total quantity"], [(0, "wooden table", none, none, 1.0), (1, "wooden table", 2.0, 5.0, 10.0), (1, "wooden table", 1.0, 5.0, 5.0)], 15.0),
+        3: (["a", "RECAP"], [(0, "wooden table", 2.0, 5.0, 10.0), (1, "glass door", 1.0, 5.0, 5.0)], 15.0),
+        4: (["a", "Riepilogo IVA"], [(0, "wooden table", 2.0, 5.0, 10.0), (1, "Riepilogo IVA 22", none, none, 5.0)], none),
+        5: (["a"], [(0, "wooden table", 2.0, 5.0, 10.0), (0, "wooden table 10.000 pz", none, none, 9.0)], none),
+        6: (["a"], [(0, "wooden table", 2.0, 5.0, 10.0), (0, "glass door 10.000 pz", none, none, 9.0)], none),
+        7: (["SUMMARY"], [(0, None, none, none, none)], none),
+    }
+    lines = spark.createDataFrame([(d, k, t) for d, (ts, _, _) in docs.items() for k, t in enumerate(ts)], "doc long, line int, text string")
+    items = spark.createDataFrame([(d, *x) for d, (_, xs, _) in docs.items() for x in xs], "doc long, line int, description string, quantity double, price double, total double")
+    totals = spark.createDataFrame([(d, t) for d, (_, _, t) in docs.items()], "doc long, document_total double")
+    found = {}
+    for x in select_level(items, lines, totals).collect():
+        found.setdefault(x.doc, [x.reason]).append(x.level)
+    assert {d: (x[0], sorted(x[1:])) for d, x in found.items()} == {
+        1: ("details_kept", ["detail", "detail"]), 2: ("summary_reconciles", ["summary", "summary"]), 3: ("additive_tables", ["detail", "summary"]), 4: ("totals_heading", ["detail"]),
+        5: ("details_kept", ["detail"]), 6: ("no_repeated_words", ["detail", "summary"]), 7: ("single_item", ["only"]),
+    }
