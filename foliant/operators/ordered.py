@@ -96,7 +96,9 @@ def date_roles(lines: DataFrame, doc: str, text: str, kind: str) -> DataFrame:
 
 def give_back(leases: DataFrame, requests: DataFrame, lease: str, *order: str) -> DataFrame:
     """The requests with ``released``: whether the lease was there, which holds for the first request alone. A null lease is
-    never there. ``leases`` has a row for each lease; those left are ``leases`` without the ones released."""
+    never there; such requests stay out of the window. ``leases`` has a row for each lease; those left are ``leases`` without the ones released."""
+    named = F.col(lease).isNotNull()
     first = F.row_number().over(Window.partitionBy(lease).orderBy(*order)) == 1
     held = leases.select(F.col(lease).alias("__held")).distinct()
-    return requests.withColumn("__first", first).join(held, F.col(lease) == F.col("__held"), "left").withColumn("released", F.col("__first") & F.col("__held").isNotNull()).drop("__first", "__held")
+    known = requests.filter(named).withColumn("__first", first).join(held, F.col(lease) == F.col("__held"), "left").withColumn("released", F.col("__first") & F.col("__held").isNotNull()).drop("__first", "__held")
+    return known.unionByName(requests.filter(~named).withColumn("released", F.lit(False)))

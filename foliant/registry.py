@@ -18,6 +18,7 @@ MODULES: list[str] = [
     "foliant.plans.repairs",
     "foliant.plans.cells",
     "foliant.plans.labels",
+    "foliant.plans.domains",
 ]
 
 
