@@ -19,6 +19,7 @@ MODULES: list[str] = [
     "foliant.plans.cells",
     "foliant.plans.labels",
     "foliant.plans.domains",
+    "foliant.plans.values",
 ]
 
 
