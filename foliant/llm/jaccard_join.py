@@ -185,44 +185,55 @@ def _kinds(own: np.ndarray, tokens: np.ndarray, kinds: np.ndarray) -> np.ndarray
     return out
 
 
-def _kinds_task(shared=None):
+def _classes(batch: pa.RecordBatch, shared) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Number, size, tokens and their classes of each set of a batch (key, n, own and, if nothing is shared, its frequent tokens)."""
+    for k, (key, n, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+        own = unpacked(raw.as_buffer())
+        if shared is not None:
+            yield key, n, own, _kinds(own, *shared.value)
+        else:
+            pairs = batch.column(3)[k].as_py() or []
+            tokens, kinds = np.array([x["shingle"] for x in pairs], np.int64).view(np.uint64), np.array([x["kind"] for x in pairs], np.uint8)
+            order = np.argsort(tokens)
+            yield key, n, own, _kinds(own, tokens[order], kinds[order])
+
+
+def _is_short(n: int, kinds: np.ndarray) -> bool:
+    """Whether the tokens at hand hold too few rare ones for a prefix, and are not all."""
+    return n > 3 and len(kinds) < n and int((kinds == 1).sum()) < needed(n)
+
+
+def _short_task(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [key for key, n, _, kinds in _classes(batch, shared) if _is_short(n, kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(short, pa.int64())], names=["key"])
+
+    return run
+
+
+def _signature_task(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, short = [], []
-            for k, (n, raw) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                if shared is not None:
-                    tokens, kinds = shared.value
-                else:
-                    pairs = batch.column(3)[k].as_py() or []
-                    tokens, kinds = np.array([x["shingle"] for x in pairs], np.int64).view(np.uint64), np.array([x["kind"] for x in pairs], np.uint8)
-                    order = np.argsort(tokens)
-                    tokens, kinds = tokens[order], kinds[order]
-                found.append(_kinds(unpacked(raw.as_buffer()), tokens, kinds))
-                short.append(n > 3 and len(found[-1]) < n and int((found[-1] == 1).sum()) < needed(n))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in found], pa.binary()), pa.array(short, pa.bool_())], names=["key", "n", "own", "kinds", "short"])
+            for key, n, own, kinds in _classes(batch, shared):
+                if not _is_short(n, kinds):
+                    single, combined = signatures(own, kinds, n)
+                    sigs = np.concatenate([single, combined]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.full(len(sigs), key, np.int64)), pa.array(np.arange(len(sigs)) < len(single))], names=["sig", "key", "single"])
 
     return run
 
 
-def classified(sets: DataFrame, common: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """(key, n, own, kinds, short): the classes of a set's tokens, a byte for each, and whether they are too few for a prefix of
-    single tokens, and not all."""
-    schema, sets = "key long, n long, own binary, kinds binary, short boolean", sets.select("key", "n", "own")
+def classified(sets: DataFrame, common: DataFrame, most: int, task, schema: str) -> DataFrame:
+    """What ``task`` makes of the sets (key, n, own) with the classes of their tokens."""
+    sets = sets.select("key", "n", "own")
     if common.count() <= most:
         rows = common.toArrow()
         tokens = np.asarray(rows.column("shingle")).view(np.uint64)
         order = np.argsort(tokens)
-        return sets.mapInArrow(_kinds_task(sets.sparkSession.sparkContext.broadcast((tokens[order], np.asarray(rows.column("kind")).astype(np.uint8)[order]))), schema)
+        return sets.mapInArrow(task(sets.sparkSession.sparkContext.broadcast((tokens[order], np.asarray(rows.column("kind")).astype(np.uint8)[order]))), schema)
     own = tokens_of(sets).join(common, "shingle").groupBy("key").agg(F.collect_set(F.struct("shingle", "kind")).alias("common"))
-    return sets.join(own, "key", "left").select("key", "n", "own", "common").mapInArrow(_kinds_task(), schema)
-
-
-def _signature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for key, n, own, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            single, combined = signatures(unpacked(own.as_buffer()), np.frombuffer(kinds.as_buffer(), np.uint8), n)
-            sigs = np.concatenate([single, combined]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.full(len(sigs), key, np.int64)), pa.array(np.arange(len(sigs)) < len(single))], names=["sig", "key", "single"])
+    return sets.join(own, "key", "left").select("key", "n", "own", "common").mapInArrow(task(None), schema)
 
 
 def signature_rows(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) -> DataFrame:
@@ -230,15 +241,13 @@ def signature_rows(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) ->
     common = stored(frequent(signed), "frequent")
     whole = []
     while True:
-        classes = classified(signed, common, most)
-        keys = classes.filter("short").select("key").distinct()
+        keys = classified(signed, common, most, _short_task, "key long").distinct()
         keys = stored(reduce(lambda df, done: df.join(done.select("key"), "key", "left_anti"), whole, keys), "short")
         if keys.isEmpty():
             break
         whole.append(stored(sets_of(docs, signed, keys, most), "sets"))
         common = stored(common.unionAll(frequent(whole[-1])).groupBy("shingle").agg(F.max("kind").alias("kind")), "frequent")
-    ready = [classes.filter("NOT short"), *(classified(sets, common, most) for sets in whole)]
-    rows = stored(reduce(DataFrame.unionAll, [x.mapInArrow(_signature_task, "sig long, key long, single boolean") for x in ready]), "signatures")
+    rows = stored(reduce(DataFrame.unionAll, [classified(sets, common, most, _signature_task, "sig long, key long, single boolean") for sets in (signed, *whole)]), "signatures")
     # single tokens have few holders, so that one window tells which are shared; combinations may have very many
     own = Window.partitionBy("sig")
     few = rows.filter("single").withColumns({"low": F.min("key").over(own), "high": F.max("key").over(own)}).filter("low < high").select("sig", "key")
