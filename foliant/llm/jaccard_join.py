@@ -32,7 +32,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,6 +56,8 @@ BROADCAST = 1 << 20
 SLACK = 16
 #: By so many times more sets of a signature are compared with the others in each round.
 LEADS = 4
+#: Words of 64 bits of the small bitmap that goes along with a set's signatures.
+WORDS = [f"w{k}" for k in range(4)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,6 +128,22 @@ def bitmap(own: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def small_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of WORDS for each set: a bit for each residue that a token has."""
+    bits = np.zeros((len(sets), 64 * len(WORDS)), bool)
+    for row, own in zip(bits, sets, strict=True):
+        row[(own % np.uint64(64 * len(WORDS))).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def may_be_similar(other: str) -> Column:
+    """By size and small bitmap, as a column: the set (n, w0, ...) and another one (other_n, other_w0, ...)."""
+    alone = lambda a, b: reduce(Column.__add__, [F.bit_count(F.col(a(w)).bitwiseAND(F.bitwise_not(F.col(b(w))))) for w in WORDS])
+    own, its = (lambda w: w), (lambda w: f"{other}_{w}")
+    both = F.least(F.col("n") - alone(own, its), F.col(f"{other}_n") - alone(its, own))
+    return (100 + LEAST) * both >= LEAST * (F.col("n") + F.col(f"{other}_n"))
+
+
 def may_link(x: bytes, n_x: int, y: bytes, n_y: int) -> bool:
     """Whether sets of these bitmaps and sizes can be similar: a bit of one alone is a token of that one alone."""
     x, y = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool), np.unpackbits(np.frombuffer(y, np.uint8)).astype(bool)
@@ -143,15 +161,15 @@ def _signed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.unique(h[a:b]) for a, b in zip(out[:-1], out[1:], strict=True)]
             keys = np.fromiter((N._key(x) for x in sets), np.uint64, n)
             first = [packed(x[: needed(len(x)) + max(SLACK, len(x) // SLACK)] if len(x) > 3 else x[:0]) for x in sets]
-            columns = [batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(keys.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.binary()), pa.array([bitmap(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "key", "n", "own", "bits"])
+            columns = [batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(keys.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.binary()), pa.array([bitmap(x) for x in sets], pa.binary()), *map(pa.array, small_bitmaps(sets).T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "key", "n", "own", "bits", *WORDS])
             row += n
 
 
 def signed_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, key, n, own, bits) of each row: the row's number, its set's number and size, its first tokens by hash, some
-    more than a prefix of single tokens takes, and its bitmap."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), N._row(docs).alias("at"), "text").mapInArrow(_signed_task, "doc_id long, at long, key long, n long, own binary, bits binary")
+    """(doc_id, at, key, n, own, bits, w0, ...) of each row: the row's number, its set's number and size, its first tokens by hash,
+    some more than a prefix of single tokens takes, its bitmap and its small one."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), N._row(docs).alias("at"), "text").mapInArrow(_signed_task, "doc_id long, at long, key long, n long, own binary, bits binary, " + ", ".join(f"{w} long" for w in WORDS))
 
 
 def texts_at(docs: DataFrame, rows: DataFrame, most: int = BROADCAST) -> DataFrame:
@@ -294,30 +312,30 @@ def links(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) -> DataFram
     """(node, root) over the sets that have links: the smallest set that each is connected with."""
     rows = stored(signature_rows(docs, signed, most), "shared")
     coded = rows.join(telling(rows.withColumn("root", F.col("key"))), "sig").groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
-    nodes = signed.groupBy("key").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = signed.groupBy("key").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), *[F.first(w).alias(w) for w in WORDS])
     coded = stored(coded.join(nodes, "key").withColumn("rank", F.size("sigs") / F.col("n")), "coded")
-    nodes, coded = coded.select("key", "at", "n", "bits"), coded.select("key", "n", "rank", "sigs")
+    nodes, coded = coded.select("key", "at", "n", "bits"), coded.select("key", "n", "rank", *WORDS, "sigs")
     tried, roots = [], None
-    held = coded.select("key", "n", "rank", F.col("key").alias("root"), F.explode(F.slice("sigs", 1, FIRST)).alias("sig"))
+    own = ["key", "n", "rank", *WORDS]
+    held = coded.select(*own, F.col("key").alias("root"), F.explode(F.slice("sigs", 1, FIRST)).alias("sig"))
     for step in count():
         # the first step takes few signatures; what they connect needs no comparison later on
         leads = held.withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("rank"), "key")))
-        leads = leads.filter(F.col("place") <= LEADS ** max(0, step - 1)).select("sig", F.col("key").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"))
-        able = (F.col("root") != F.col("lead_root")) & (100 * F.least("n", "lead_n") >= LEAST * F.greatest("n", "lead_n"))
-        pairs = held.join(leads, "sig").filter(able).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
+        leads = leads.filter(F.col("place") <= LEADS ** max(0, step - 1)).select("sig", F.col("key").alias("lead"), *[F.col(c).alias(f"lead_{c}") for c in ("n", "root", *WORDS)])
+        pairs = held.join(leads, "sig").filter((F.col("root") != F.col("lead_root")) & may_be_similar("lead")).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
         pairs = stored(reduce(lambda df, done: df.join(done, ["a", "b"], "left_anti"), tried, pairs), "pairs")
         tried.append(pairs)
-        found = stored(verified(docs, nodes, pairs, most), "links")
+        found = pairs if pairs.isEmpty() else stored(verified(docs, nodes, pairs, most), "links")
         if roots is None:
             roots = components(found)
         elif not found.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
         at = roots.select(F.col("node").alias("key"), F.col("root").alias("known"))
         if step == 0:
-            rooted = coded.join(at, "key", "left").select("key", "n", "rank", F.coalesce("known", "key").alias("root"), F.explode("sigs").alias("sig"))
+            rooted = coded.join(at, "key", "left").select(*own, F.coalesce("known", "key").alias("root"), F.explode("sigs").alias("sig"))
         else:
             left = held.join(leads.select("sig", F.col("lead").alias("key")), ["sig", "key"], "left_anti")
-            rooted = left.join(at, "key", "left").withColumn("root", F.coalesce("known", "root")).select("key", "n", "rank", "root", "sig")
+            rooted = left.join(at, "key", "left").withColumn("root", F.coalesce("known", "root")).select(*own, "root", "sig")
         held = stored(rooted.join(telling(rooted), "sig"), "held")
         if held.isEmpty():
             return roots

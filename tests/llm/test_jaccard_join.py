@@ -131,3 +131,17 @@ def test_query(spark):
     assert dict(r.dtypes) == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"}
     rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(x) for x in r.collect()), key=str) == plain(rows)
+
+
+def test_small_bitmaps_rule_out_no_link(spark):
+    rng, rows, links = np.random.default_rng(8), [], {}
+    for k in range(600):
+        n = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([rng.permutation(x)[int(rng.integers(0, len(x) // 4 + 1)) :], rng.integers(1, 2**63, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        links[k] = 100 * both >= 80 * (len(x) + len(y) - both)
+        rows.append((k, len(x), *map(int, J.small_bitmaps([x])[0]), len(y), *map(int, J.small_bitmaps([y])[0])))
+    names = ["k", "n", *J.WORDS, "o_n", *[f"o_{w}" for w in J.WORDS]]
+    able = {r.k for r in spark.createDataFrame(rows, names).filter(J.may_be_similar("o")).collect()}
+    assert {k for k, x in links.items() if x} <= able and sum(links.values()) > 50
