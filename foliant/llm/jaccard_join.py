@@ -11,8 +11,10 @@ from the band of sizes; a set close below the next band takes part in that, too.
 can fall short, and these link with equal sets alone, which are one node from the start.
 
 Classes come from counts: of all sets' first tokens by hash, some more than t + 1, and of all tokens of the sets that have too few rare
-ones there, until there is no further one. Sets that share a signature are candidates; bitmaps of tokens rule most
-false ones out without a loss, and each link is verified on the sets. Of a signature's sets not all pairs are
+ones there, until there is no further one. Sets that share a signature are candidates. A set with combinations has all its rare
+tokens among its signatures, so two sets that meet at a combination either meet at a rare token as well or have at most their
+frequent tokens in common; where these are too few, as with a passage that very many texts hold, the combination makes no pair of
+them. Bitmaps of tokens rule most other false ones out without a loss, and each link is verified on the sets. Of a signature's sets not all pairs are
 taken: in a round its most shared sets, ``LEADS`` times more from round to round, are compared with all the others that they are not
 connected with yet, then leave it, until all its sets are connected or none is left. So a group of near copies
 takes about one comparison for each text, and every pair is linked, connected otherwise, or verified not to be one.
@@ -144,6 +146,13 @@ def may_be_similar(other: str) -> Column:
     return (100 + LEAST) * both >= LEAST * (F.col("n") + F.col(f"{other}_n"))
 
 
+def may_meet(other: str) -> Column:
+    """Whether the frequent tokens alone may make the set (n, rare) and another one of the same combination similar; true of single
+    tokens, where ``rare`` is null. Sets with a rare token in common meet there."""
+    both = F.least(*[F.col(f"{k}n") - F.coalesce(F.col(f"{k}rare"), F.lit(0)) for k in ("", f"{other}_")])
+    return (100 + LEAST) * both >= LEAST * (F.col("n") + F.col(f"{other}_n"))
+
+
 def may_link(x: bytes, n_x: int, y: bytes, n_y: int) -> bool:
     """Whether sets of these bitmaps and sizes can be similar: a bit of one alone is a token of that one alone."""
     x, y = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool), np.unpackbits(np.frombuffer(y, np.uint8)).astype(bool)
@@ -237,7 +246,8 @@ def _signature_task(shared):
                 if not _is_short(n, kinds):
                     single, combined = signatures(own, kinds, n)
                     sigs = np.concatenate([single, combined]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.full(len(sigs), key, np.int64)), pa.array(np.arange(len(sigs)) < len(single))], names=["sig", "key", "single"])
+                    rare = pa.array(np.full(len(sigs), len(single), np.int32), mask=np.arange(len(sigs)) < len(single))
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.full(len(sigs), key, np.int64)), rare], names=["sig", "key", "rare"])
 
     return run
 
@@ -255,7 +265,8 @@ def classified(sets: DataFrame, common: DataFrame, most: int, task, schema: str)
 
 
 def signature_rows(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """(sig, key) of the signatures that several sets have."""
+    """(sig, key, rare) of the signatures that several sets have; ``rare`` is null for a single token, and how many rare tokens the
+    set has (all are signatures then) for a combination."""
     common = stored(frequent(signed), "frequent")
     whole = []
     while True:
@@ -265,11 +276,11 @@ def signature_rows(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) ->
             break
         whole.append(stored(sets_of(docs, signed, keys, most), "sets"))
         common = stored(common.unionAll(frequent(whole[-1])).groupBy("shingle").agg(F.max("kind").alias("kind")), "frequent")
-    rows = stored(reduce(DataFrame.unionAll, [classified(sets, common, most, _signature_task, "sig long, key long, single boolean") for sets in (signed, *whole)]), "signatures")
+    rows = stored(reduce(DataFrame.unionAll, [classified(sets, common, most, _signature_task, "sig long, key long, rare int") for sets in (signed, *whole)]), "signatures")
     # single tokens have few holders, so that one window tells which are shared; combinations may have very many
     own = Window.partitionBy("sig")
-    few = rows.filter("single").withColumns({"low": F.min("key").over(own), "high": F.max("key").over(own)}).filter("low < high").select("sig", "key")
-    many = rows.filter("NOT single").select("sig", "key")
+    few = rows.filter("rare IS NULL").withColumns({"low": F.min("key").over(own), "high": F.max("key").over(own)}).filter("low < high").select("sig", "key", "rare")
+    many = rows.filter("rare IS NOT NULL")
     several = many.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("sig")
     return few.unionAll(many.join(several, "sig")).distinct()
 
@@ -302,27 +313,27 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, most: int = BR
 
 
 def telling(rows: DataFrame) -> DataFrame:
-    """Of (sig, key, root) the signatures whose sets are not all connected; of several with the same sets one alone, such as of
-    those that a passage brings."""
-    alike = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
-    return alike.filter("low < high").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    """Of (sig, key, rare, root) the signatures whose sets are not all connected; of several with the same sets one alone, such as of
+    those that a passage brings: a single token before a combination, which makes fewer pairs."""
+    alike = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.max(F.col("rare").isNotNull()).alias("combined"))
+    return alike.filter("low < high").groupBy("n", "x", "y").agg(F.min(F.struct("combined", "sig")).alias("s")).select("s.sig")
 
 
 def links(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) -> DataFrame:
     """(node, root) over the sets that have links: the smallest set that each is connected with."""
     rows = stored(signature_rows(docs, signed, most), "shared")
-    coded = rows.join(telling(rows.withColumn("root", F.col("key"))), "sig").groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+    coded = rows.join(telling(rows.withColumn("root", F.col("key"))), "sig").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("sig", "rare"))).alias("sigs"))
     nodes = signed.groupBy("key").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), *[F.first(w).alias(w) for w in WORDS])
     coded = stored(coded.join(nodes, "key").withColumn("rank", F.size("sigs") / F.col("n")), "coded")
     nodes, coded = coded.select("key", "at", "n", "bits"), coded.select("key", "n", "rank", *WORDS, "sigs")
     tried, roots = [], None
     own = ["key", "n", "rank", *WORDS]
-    held = coded.select(*own, F.col("key").alias("root"), F.explode(F.slice("sigs", 1, FIRST)).alias("sig"))
+    held = coded.select(*own, F.col("key").alias("root"), F.explode(F.slice("sigs", 1, FIRST)).alias("s")).select(*own, "root", "s.*")
     for step in count():
         # the first step takes few signatures; what they connect needs no comparison later on
         leads = held.withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("rank"), "key")))
-        leads = leads.filter(F.col("place") <= LEADS ** max(0, step - 1)).select("sig", F.col("key").alias("lead"), *[F.col(c).alias(f"lead_{c}") for c in ("n", "root", *WORDS)])
-        pairs = held.join(leads, "sig").filter((F.col("root") != F.col("lead_root")) & may_be_similar("lead")).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
+        leads = leads.filter(F.col("place") <= LEADS ** max(0, step - 1)).select("sig", F.col("key").alias("lead"), *[F.col(c).alias(f"lead_{c}") for c in ("n", "rare", "root", *WORDS)])
+        pairs = held.join(leads, "sig").filter((F.col("root") != F.col("lead_root")) & may_meet("lead") & may_be_similar("lead")).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
         pairs = stored(reduce(lambda df, done: df.join(done, ["a", "b"], "left_anti"), tried, pairs), "pairs")
         tried.append(pairs)
         found = pairs if pairs.isEmpty() else stored(verified(docs, nodes, pairs, most), "links")
@@ -332,10 +343,10 @@ def links(docs: DataFrame, signed: DataFrame, most: int = BROADCAST) -> DataFram
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
         at = roots.select(F.col("node").alias("key"), F.col("root").alias("known"))
         if step == 0:
-            rooted = coded.join(at, "key", "left").select(*own, F.coalesce("known", "key").alias("root"), F.explode("sigs").alias("sig"))
+            rooted = coded.join(at, "key", "left").select(*own, F.coalesce("known", "key").alias("root"), F.explode("sigs").alias("s")).select(*own, "root", "s.*")
         else:
             left = held.join(leads.select("sig", F.col("lead").alias("key")), ["sig", "key"], "left_anti")
-            rooted = left.join(at, "key", "left").withColumn("root", F.coalesce("known", "root")).select(*own, "root", "sig")
+            rooted = left.join(at, "key", "left").withColumn("root", F.coalesce("known", "root")).select(*own, "root", "sig", "rare")
         held = stored(rooted.join(telling(rooted), "sig"), "held")
         if held.isEmpty():
             return roots

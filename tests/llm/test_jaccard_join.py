@@ -112,6 +112,27 @@ def test_a_group_of_near_copies_takes_few_comparisons(spark, monkeypatch):
     assert sum(seen) < 3000
 
 
+def test_a_passage_that_many_texts_hold_makes_few_pairs(spark, monkeypatch):
+    """Texts that a passage alone brings together are not compared one by one; near copies among them are found."""
+    rng, seen = random.Random(9), []
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(126)
+    texts = [passage + fresh(24) for _ in range(300)]
+    texts += [edited(rng, t, 1) for t in texts[:20]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    plain_stored = J.stored
+
+    def counted(df, name):
+        out = plain_stored(df, name)
+        if name == "pairs":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "stored", counted)
+    assert found(spark, rows) == plain(rows)
+    assert sum(seen) < 2000
+
+
 def test_empty_and_clashing_columns(spark):
     assert found(spark, []) == [] and found(spark, [(1, None), (2, "")]) == [(1, 0, 1), (2, 0, 2)]
     odd = spark.createDataFrame([(1, "a b c", 5, 1), (2, "A b c", 6, 2), (None, "x", 1, 1)], "doc_id long, text string, n int, key int")
