@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,20 +54,45 @@ def from_planes(raw: bytes) -> np.ndarray:
 
 
 TEXTS = "segment long, doc_ids array<long>, sizes binary, data binary"
+#: Files of long rows: row groups and pages of a few rows, so that neither writer nor reader holds more of a file, however large.
+GROUP_BYTES = 8 << 20
+#: Bytes of segments that a Python worker gets at a time, about; one more row at most.
+BATCH_BYTES = 4 << 20
+FEW_ROWS = {"compression": "zstd", "parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 def text_segments(docs, most: int, key: str = "doc_id", text: str = "text"):
     """Stored table of segments with their texts: doc_ids, sizes in bytes (64-bit words) and the bytes."""
     from pyspark.sql import functions as F
 
-    from foliant.llm._tables import stored
+    from foliant.llm._tables import new_path
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment, ids, data, offsets in segments_of(batches, most):
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([segment]), lists, pa.array([np.diff(offsets).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["segment", "doc_ids", "sizes", "data"])
 
-    return stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, TEXTS), "segments")
+    path = new_path(docs.sparkSession, "segments")
+    docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, TEXTS).write.options(**FEW_ROWS).parquet(path)
+    return docs.sparkSession.read.schema(TEXTS).parquet(path)
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch of segments, one at a time: a batch may hold many, and as Python objects all would be there twice."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
+@contextmanager
+def few_segments(spark) -> Iterator[None]:
+    """Within it, a Python worker gets two or so segments at a time instead of Arrow's default of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def opened(row: dict) -> tuple[list, np.ndarray, np.ndarray]:

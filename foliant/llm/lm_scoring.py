@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm._bytes import LOWER, mixed, word_hashes, word_spans
-from foliant.llm._segments import opened, packed, packed_counts, text_segments, unpacked, unpacked_counts
+from foliant.llm._segments import few_segments, opened, packed, packed_counts, rows_of, text_segments, unpacked, unpacked_counts
 from foliant.llm._tables import documents, fold_of_value, stored, text_bytes
 
 SEGMENT_BYTES = 3 << 20
@@ -64,7 +64,9 @@ class Tokens:
         self.train = np.array([training(i) for i in self.ids], dtype=bool)
         own = self.train[self.text]
         self.word, self.word_of = np.unique(self.token, return_inverse=True)
+        del data, starts, ends, text, previous
         self.pair, self.pair_of = np.unique(pair, return_inverse=True)
+        del pair
         self.word_count = np.bincount(self.word_of[own], minlength=len(self.word))
         self.pair_count = np.bincount(self.pair_of[own], minlength=len(self.pair))
         self.context_of = np.concatenate([[0], self.word_of[:-1]])  # a text's first token has the begin of the text instead
@@ -75,7 +77,7 @@ class Tokens:
 def _counting_task(bits: int, training: Callable[[int | None], bool]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 t = Tokens(row, training)
                 rows = []
                 for order, grams, count in ((1, t.word, t.word_count), (2, t.pair, t.pair_count)):
@@ -212,7 +214,8 @@ def score(docs: DataFrame, training: Callable[[int | None], bool]) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1, text_bytes(docs) / OWNER_BYTES)))))
     segments = text_segments(docs, SEGMENT_BYTES)
     sent = segments.mapInArrow(_counting_task(bits, training), "n int, owner long, segment long, grams binary, counts binary")
-    answers = stored(sent.groupBy("n", "owner").applyInArrow(_adding_task, ANSWERS), "answers")
+    with few_segments(spark):
+        answers = stored(sent.groupBy("n", "owner").applyInArrow(_adding_task, ANSWERS), "answers")
     sizes = {r.n: (r.total, r.seen) for r in answers.groupBy("n").agg(F.sum("total").alias("total"), F.sum("distinct_grams").alias("seen")).collect()}
     texts = segments.select("doc_ids").mapInArrow(_text_count_task(training), "n long").agg(F.sum("n")).first()[0] or 0
     size = (*sizes.get(1, (0, 0)), texts)

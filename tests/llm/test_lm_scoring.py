@@ -71,6 +71,30 @@ def test_odd_rows(spark, docs, empty):
     assert sorted(r.n_tokens for r in L.score(odd, L.in_training).collect()) == [1, 3, 3]
 
 
+def test_segments_are_held_a_few_at_a_time(spark):
+    """However large a task's file of segments: in its row groups, and in what a Python worker gets at once."""
+    import pyarrow.parquet as pq
+    from foliant.llm import _segments as S
+
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(k, rng.bytes(1 << 19).hex()) for k in range(40)], "doc_id long, text string").coalesce(1)
+    segments = S.text_segments(docs, 1 << 20)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in segments.inputFiles()]
+    assert sum(f.metadata.num_rows for f in files) >= 40
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.num_row_groups)]
+    assert max(sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups) <= S.GROUP_BYTES + (2 << 20)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    with S.few_segments(spark):
+        held = [r.n for r in segments.mapInArrow(sizes, "n long").collect()]
+    assert sum(held) >= 40 << 20 and max(held) <= S.BATCH_BYTES + (2 << 20)
+
+
 def test_packing():
     rng = np.random.default_rng(0)
     x = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
