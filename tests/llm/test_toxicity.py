@@ -106,3 +106,25 @@ def test_odd_rows(spark, docs, empty):
     assert T.score(empty, model).count() == 0
     odd = spark.createDataFrame([(1, "a", "en", "q"), (1, "a", None, "q"), (None, None, "de", "r")], "doc_id long, text string, lang string, score string")
     assert T.score(odd, model).count() == 3
+
+
+def test_words_beyond_the_first_rows_are_learned(spark):
+    """The rows that the driver begins with are not all that the model knows."""
+    texts = [(i, f"{('vile', 'calm')[i % 2]}{i // 2 % 30} some plain words {i}", "en") for i in range(1200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(1200)], "doc_id long, toxic int")
+    m, start = T.train(docs, labels, sample=10), T._new_model(np.random.default_rng(11))
+    moved = 0
+    for k in range(30):
+        (hashes, _), = list(T.words_of(pa.array([f"vile{k}"])))
+        slot = 1 + int(hashes[0] >> np.uint64(32)) % (T.TABLE - 1)
+        moved += bool((m.tables[0][slot] != start.tables[0][slot]).any())
+    assert moved >= 20
+
+
+def test_what_a_long_text_leaves_has_its_responses(monkeypatch):
+    m, words = T._new_model(np.random.default_rng(3)), np.random.default_rng(4).integers(1, 2**63, 900, dtype=np.uint64)
+    whole = T._pooled(m, words, np.array([0, 900]))
+    monkeypatch.setattr(T, "BLOCK_WORDS", 64)
+    less = T.shortened(m, words)
+    assert len(less) <= 216 and (T._pooled(m, less, np.array([0, len(less)])) >= whole - 1e-5).all()
