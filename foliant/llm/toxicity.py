@@ -155,12 +155,11 @@ def _step(m: Model, hashes: np.ndarray, before: np.ndarray, label: np.ndarray, w
     dout, dbias = pooled.T @ g, float(g.sum())
     dtop = np.outer(g, m.out) * (top > 0)
     owner = np.repeat(np.arange(len(label)), np.diff(np.append(begin, len(x))))
-    pos, f = np.nonzero(y == top[owner])
+    at = np.flatnonzero(y == np.where(dtop != 0, top, np.nan)[owner])  # those alone that a gradient goes to
+    pos, f = np.divmod(at, y.shape[1])
     _, lead = np.unique(owner[pos] * y.shape[1] + f, return_index=True)  # the first of equal maxima
     pos, f = pos[lead], f[lead]
     d = dtop[owner[pos], f]
-    own = d != 0
-    pos, f, d = pos[own], f[own], d[own]
     dx, dfilters, dbiases = np.zeros_like(x), [], []
     for j, w in enumerate(WIDTHS):
         mine = f // FILTERS == j
@@ -203,13 +202,18 @@ class Steps:
             table[unique] -= 0.1 * summed / np.sqrt(total[unique])[:, None]
 
 
+def _among(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted ``words``, by binary search: np.isin would go over all words for each text."""
+    return np.searchsorted(words, x, "right") > np.searchsorted(words, x)
+
+
 def fit(texts: list[np.ndarray], label: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Model:
     """Train on word-hash arrays; both labels weigh the same in all. Words of fewer than LEAST_TEXTS texts
     are padding here, so that nothing is learned from what one text happens to hold."""
     rng = np.random.default_rng(seed)
     words, back = np.unique(np.concatenate([np.unique(x) for x in texts]), return_counts=True)
     known = words[back >= LEAST_TEXTS]
-    texts = [np.where(np.isin(x, known), x, np.uint64(0)) for x in texts]
+    texts = [np.where(_among(x, known), x, np.uint64(0)) for x in texts]
     steps = Steps(_new_model(rng))
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
     for _ in range(epochs):
@@ -424,7 +428,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     own = docs.filter("doc_id IS NOT NULL").select("doc_id", at.alias("at"), "lang", "text").mapInArrow(_slots_task, "doc_id long, at long, lang string, slots binary")
     part = F.when(kept & F.lit(apart), -1).otherwise(F.pmod(F.xxhash64("at", F.lit(5)), F.lit(PARTS))).cast("int")
     path = new_path(docs.sparkSession, "labelled")
-    own.join(toxic, "doc_id").select("toxic", "lang", "slots", part.alias("part")).write.partitionBy("part").option("compression", "zstd").parquet(path)
+    labelled = own.join(toxic.hint("merge"), "doc_id")  # labels grow with the documents: the same plan, and its disk, at any size
+    labelled.select("toxic", "lang", "slots", part.alias("part")).write.partitionBy("part").option("compression", "zstd").parquet(path)
     labelled = docs.sparkSession.read.schema("toxic int, lang string, slots binary, part int").parquet(path)
     learned = labelled.filter("part >= 0")
     if any(len(own) < (sizes[k, False] if apart else counts[k]) for k, own in enumerate(first)):

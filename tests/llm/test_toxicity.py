@@ -1,5 +1,7 @@
 """Operator 3: held-out accuracy, gradients and odd rows."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from foliant.llm import toxicity as T
@@ -128,3 +130,19 @@ def test_what_a_long_text_leaves_has_its_responses(monkeypatch):
     monkeypatch.setattr(T, "BLOCK_WORDS", 64)
     less = T.shortened(m, words)
     assert len(less) <= 216 and (T._pooled(m, less, np.array([0, len(less)])) >= whole - 1e-5).all()
+
+
+def test_fitting_does_not_go_over_all_words_for_each_text():
+    rng = np.random.default_rng(7)
+    words = rng.integers(1, 2**63, 100_000, dtype=np.uint64)
+    texts = [rng.choice(words, 200) for _ in range(4000)]
+    began = time.process_time()
+    T.fit(texts, np.arange(4000) % 2 * np.float32(1), epochs=0)
+    assert time.process_time() - began < 5
+
+
+def test_words_among_others():
+    known = np.array([2, 5, 9, 2**64 - 1], np.uint64)
+    for x in ([], [0, 2, 3, 5, 5, 2**64 - 1, 9, 10], [1]):
+        x = np.array(x, np.uint64)
+        assert (T._among(x, known) == np.isin(x, known)).all() and not T._among(x, known[:0]).any()
