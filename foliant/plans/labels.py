@@ -25,10 +25,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_labels(spark: SparkSession, d: str) -> DataFrame:
-    lines, labels = _lines(spark, d), label_table(spark)
-    found = L.find_labels(lines, labels, ["l_orderkey", "line"], _CONCEPTS)
-    types = L.document_types(lines, labels, ["l_orderkey", "line"])
-    return lines.join(found, ["l_orderkey", "line"], "left").join(types, ["l_orderkey", "line"], "left").select("l_orderkey", "line", "concept", "language", "label", "type")
+    return L.line_labels(_lines(spark, d), label_table(spark), ["l_orderkey", "line"], _CONCEPTS)
 
 
 def label_languages(spark: SparkSession, d: str) -> DataFrame:

@@ -62,3 +62,21 @@ def test_other_tables(spark):
     assert [(x.line, x.language) for x in found] == [(0, "pt")]
     assert L.document_languages(lines(spark, ["x"]), own, "doc", "line").count() == 0
     assert set(TYPES) < set(LABELS) and len(label_rows()) < 200
+
+
+def test_labels_of_all_lines(spark):
+    """As the best label and the type are found one by one, whatever the size of the table; lines without either stay."""
+    from unittest.mock import patch
+
+    r = random.Random(4)
+    labels = [x for *_, x in label_rows()]
+    texts = [" ".join(r.choice([r.choice(labels), r.choice(labels).upper(), "7", "--", "total due total"]) for _ in range(r.randrange(0, 5))) for _ in range(150)] + [None, "", "!?"]
+    frame, table, concepts = lines(spark, texts), label_table(spark).unionAll(label_table(spark, {"total": {"xx": ["!!"]}})), ["total", "customer", "quantity"]
+    best = {x.line: (x.concept, x.language, x.label) for x in L.find_labels(frame, table, ["line"], concepts).collect()}
+    types = {x.line: x.type for x in L.document_types(frame, table, ["line"]).collect()}
+    want = {k: (*best.get(k, (None, None, None)), types.get(k)) for k in range(len(texts))}
+    assert len(best) > 50 and len(types) > 20 and not {len(texts) - 1, len(texts) - 2, len(texts) - 3} & {*best, *types}
+    for most in (10_000, 3):
+        with patch.object(L, "BROADCAST", most):
+            assert {x.line: (x.concept, x.language, x.label, x.type) for x in L.line_labels(frame.repartition(3), table, ["line"], concepts).collect()} == want
+    assert L.line_labels(frame.limit(0), table, ["line"], concepts).count() == 0
