@@ -80,3 +80,14 @@ def test_labels_of_all_lines(spark):
         with patch.object(L, "BROADCAST", most):
             assert {x.line: (x.concept, x.language, x.label, x.type) for x in L.line_labels(frame.repartition(3), table, ["line"], concepts).collect()} == want
     assert L.line_labels(frame.limit(0), table, ["line"], concepts).count() == 0
+
+
+def test_words_are_not_folded_within_lambdas(spark):
+    """A line's text is folded once and not again for each run of its words."""
+    from unittest.mock import patch
+
+    for most in (10_000, 3):
+        with patch.object(L, "BROADCAST", most):
+            found = L.matches(lines(spark, ["Total due 5"]), label_table(spark))
+        assert not re.search(r"lambdafunction[^\n]*translate", found._jdf.queryExecution().optimizedPlan().toString())
+        assert {x.label for x in found.collect()} == {"total due", "total"}
