@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.money import parse_amount
+from foliant.operators.shared import stored
 from foliant.operators.state import walk
 
 NUMERIC = ["quantity", "price", "discount", "vat", "total"]
@@ -32,10 +33,10 @@ class Claims:
         self.taken: OrderedDict = OrderedDict()
 
     def step(self, row: tuple) -> tuple:
-        (candidates,) = row
-        free = sorted(((-c["score"], k, c["slot"]) for k, c in enumerate(candidates) if c["slot"] not in self.taken))
+        slots, scores = row
+        free = sorted((-score, k, slot) for k, (slot, score) in enumerate(zip(slots.tolist(), scores.tolist())) if slot not in self.taken)
         if not free or free[0][0] >= 0:
-            return None, "taken" if len(free) < len(candidates) else "none"
+            return None, "taken" if len(free) < len(slots) else "none"
         if len(free) > 1 and free[0][0] > free[1][0] - MARGIN:
             return None, "ambiguous"
         slot = free[0][2]
@@ -46,13 +47,16 @@ class Claims:
 
 
 def greedy(requests: DataFrame, page: str, order: list[str]) -> DataFrame:
-    """``requests`` (candidates: array of (slot, score), the first of equal ones wins) with slot and status: attached, ambiguous
-    (the next one is within MARGIN), taken or none. A score of 0 or less never wins."""
-    return walk(requests, page, order, Claims, Claims.step, ["candidates"], "slot string, status string")
+    """``requests`` (candidates: array of (slot, score), the first of equal ones wins) with slot and status in place of the
+    candidates: attached, ambiguous (the next one is within MARGIN), taken or none. A score of 0 or less never wins."""
+    given = requests.withColumns({"__slots": F.col("candidates.slot"), "__scores": F.col("candidates.score")}).drop("candidates")
+    return walk(given, page, order, Claims, Claims.step, ["__slots", "__scores"], "slot string, status string", spent=True)
 
 
 def is_amount(text: Column) -> Column:
-    return parse_amount(text)["value"]
+    """The value of an amount, null for other texts. Texts without digits and plain numbers need no look at locales."""
+    plain = text.rlike(r"^\d{1,15}([.,]\d{2})?$")
+    return F.when(~text.rlike(r"\d"), F.lit(None).cast("double")).when(plain, F.translate(text, ",", ".").try_cast("double")).otherwise(parse_amount(text)["value"])
 
 
 def _banded(rows: DataFrame, low: str, high: str, width: str) -> DataFrame:
@@ -62,7 +66,8 @@ def _banded(rows: DataFrame, low: str, high: str, width: str) -> DataFrame:
 
 
 def row_bands(cells: DataFrame, pages: DataFrame) -> DataFrame:
-    """Rows of cells (page, row, y, kind, text, value): page, row, y, anchor_y, x, summary, code, words, and the first value of each kind.
+    """Rows of cells (page, row, y, kind, text, value): page, row, y, anchor_y, x, summary, code, words, the first value of each kind, and
+    ``full``, the kinds that the row has a cell of which counts.
 
     A row is anchored by a description, an item code or words. Cells without a row are not looked at."""
     text = F.coalesce("text", F.lit(""))
@@ -73,13 +78,17 @@ def row_bands(cells: DataFrame, pages: DataFrame) -> DataFrame:
     no = F.lit(False)
     first = lambda k: F.min_by(F.when((F.col("kind") == k), F.col("value")), F.when((F.col("kind") == k) & F.col("value").isNotNull(), F.struct("x", "id"))).alias(k)
     kinds = F.coalesce("kind", F.lit(""))
+    # stray whole numbers where a price or total belongs, and zeros, don't count
+    whole = (F.col("value") == F.floor("value")) & F.col("value").between(1, 100) & ~F.trim(F.col("text")).rlike(r"[.,]|\s\d{3}")
+    weak = F.col("kind").isin("price", "total") & F.coalesce(F.col("value").isNull() | whole | (F.col("value") == 0), F.lit(True))
+    full = F.array_compact(F.array(*[F.when(~F.min(F.when(F.col("kind") == k, weak)), F.lit(k)) for k in NUMERIC])).alias("full")
     return (
         cells.filter("row IS NOT NULL")
         .withColumn("kind", kinds)
         .groupBy("page", "row")
         .agg(
             F.min("row_y").alias("y"), F.avg(F.when(anchor, F.col("y"))).alias("anchor_y"), F.min_by("x", F.struct("x", "id")).alias("x"), F.max(F.coalesce(summary, no)).alias("summary"), F.max(F.coalesce(coded, no)).alias("code"),
-            F.max(F.coalesce(wordy, no)).alias("words"), *[first(k) for k in NUMERIC],
+            F.max(F.coalesce(wordy, no)).alias("words"), *[first(k) for k in NUMERIC], full,
         )
         .join(pages, "page")
     )
@@ -94,50 +103,50 @@ def reattach_cells(cells: DataFrame, pages: DataFrame) -> DataFrame:
     their rows elsewhere on the page. A slot is free if the row has no cell of the kind, only stray whole numbers where a price
     or total belongs, or zeros. Totals come last and gain where quantity times price fits. Cells without a page, y or
     amount are no orphans."""
-    c = cells.withColumn("value", is_amount(F.col("text")))
-    rows = row_bands(c, pages)
-    anchored = rows.filter("anchor_y IS NOT NULL")
-    numeric = F.col("kind").isin(NUMERIC) & F.col("value").isNotNull() & F.col("y").isNotNull()
-    orphans = c.filter(numeric).join(anchored.select("page", "row"), ["page", "row"], "left_anti")
+    # each of these is used several times; amounts are read once
+    c = stored(cells.select("page", "id", "row", "row_y", "x", "y", "kind", "text", is_amount(F.col("text")).alias("value")), "cells")
     base = F.greatest(F.col("height") * 1.8, F.least(F.col("spacing") * 0.55, F.col("height") * 4))
+    anchored = stored(row_bands(c, pages).filter("anchor_y IS NOT NULL").withColumn("base", base), "rows")
+    numeric = F.col("kind").isin(NUMERIC) & F.col("value").isNotNull() & F.col("y").isNotNull()
+    wanted = c.filter(numeric).select("page", "id", "row", "kind", "x", "y", "value")
+    orphans = wanted.filter("row IS NULL OR page IS NULL").unionAll(wanted.filter("row IS NOT NULL AND page IS NOT NULL").join(anchored.select("page", "row"), ["page", "row"], "left_anti").select(wanted.columns)).drop("row")
     # how far the cells of a kind are off their rows: the upper median
     off = c.filter("row IS NOT NULL AND kind IS NOT NULL").withColumn("off", F.abs(F.col("y") - F.col("row_y"))).filter(F.col("kind").isin(NUMERIC) & (F.col("off") > 0)).join(anchored.select("page", "row"), ["page", "row"], "left_semi")
     w = Window.partitionBy("page", "kind")
-    typical = off.withColumns({"n": F.count("*").over(w), "k": F.row_number().over(w.orderBy("off", "id"))}).filter("k = n div 2 + 1").select("page", "kind", F.col("off").alias("typical"))
-    held = c.filter(F.col("row").isNotNull() & F.col("kind").isin(NUMERIC)).withColumn("t", F.trim("text"))
-    whole = (F.col("value") == F.floor("value")) & F.col("value").between(1, 100) & ~F.col("t").rlike(r"[.,]|\s\d{3}")
-    weak = F.col("kind").isin("price", "total") & F.coalesce(F.col("value").isNull() | whole | (F.col("value") == 0), F.lit(True))
-    full = held.groupBy("page", "row", "kind").agg(F.min(weak).alias("weak")).filter("NOT weak").select("page", "row", "kind")
+    typical = off.select("page", "kind", "off", "id").withColumns({"n": F.count("*").over(w), "k": F.row_number().over(w.orderBy("off", "id"))}).filter("k = n div 2 + 1").select("page", "kind", F.col("off").alias("typical"))
 
-    def candidates(wanted: DataFrame, owners: DataFrame, kinds: list[str]) -> DataFrame:
-        o = owners.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    def candidates(wanted: DataFrame, owners: DataFrame) -> DataFrame:
+        # rows meet the kinds that their page has orphans of
+        kinds = wanted.select("page", "kind").distinct().join(typical, ["page", "kind"], "left")
+        o = owners.join(kinds, "page")
         # quantities belong to rows of goods, if the page has any
         goods = F.max((~F.col("summary")).cast("int")).over(Window.partitionBy("page", "kind"))
-        o = o.withColumn("goods", goods).filter((F.col("kind") != "quantity") | ~F.col("summary") | (F.col("goods") == 0)).join(typical, ["page", "kind"], "left")
+        o = o.withColumn("goods", goods).filter((F.col("kind") != "quantity") | ~F.col("summary") | (F.col("goods") == 0))
         by = Window.partitionBy("page", "kind").orderBy("y", "row")
-        drift = F.greatest(base, F.coalesce(F.col("typical") * 1.35 + base * 0.25, base)) * F.when(F.col("kind") == "total", 1.25).otherwise(1.0)
+        drift = F.greatest("base", F.coalesce(F.col("typical") * 1.35 + F.col("base") * 0.25, "base")) * F.when(F.col("kind") == "total", 1.25).otherwise(1.0)
         o = o.withColumns({"drift": drift, "before": F.lag("y").over(by), "after": F.lead("y").over(by)})
-        o = o.withColumns({"low": F.coalesce((F.col("before") + F.col("y")) / 2, F.col("y") - F.col("spacing")) - F.col("drift"), "high": F.coalesce((F.col("after") + F.col("y")) / 2, F.col("y") + F.col("spacing")) + F.col("drift"), "width": F.greatest(base, F.lit(8.0))})
-        o = o.join(full, ["page", "row", "kind"], "left_anti").filter((F.col("kind") != "quantity") | ~F.col("summary"))
-        near = _banded(o, "low", "high", "width").select("page", "kind", "__band", "low", "high", "drift", "y", "anchor_y", "quantity", "price", F.col("row").alias("owner"))
-        at = wanted.join(pages, "page").withColumn("__band", F.floor(F.col("y") / F.greatest(base, F.lit(8.0))).cast("long")).select("page", "id", "kind", "x", "y", "value", "__band")
-        met = at.alias("a").join(near.alias("o"), ["page", "kind", "__band"]).filter("a.y >= o.low AND a.y < o.high")
-        dy = F.abs(F.col("a.y") - F.when(F.col("kind") == "quantity", F.col("o.anchor_y")).otherwise(F.col("o.y"))) / F.greatest(F.lit(8.0), F.col("drift"))
-        fits = (F.col("kind") == "total") & (F.abs(F.col("quantity") * F.col("price") - F.col("value")) <= F.greatest(F.lit(0.05), F.abs("value") * 0.01))
-        score = 48 - dy * 28 + F.when(F.col("kind") == "quantity", F.greatest(F.lit(0.0), 12 - dy * 12)).when(fits, 8.0).otherwise(0.0)
-        found = met.select("page", "id", "kind", "x", F.col("a.y").alias("y"), "value", F.struct(F.col("o.y").alias("oy"), "owner", score.alias("score")).alias("c"))
+        # a band is as wide as a row's usual reach, so that a row is in few of them
+        o = o.withColumns({"low": F.coalesce((F.col("before") + F.col("y")) / 2, F.col("y") - F.col("spacing")) - F.col("drift"), "high": F.coalesce((F.col("after") + F.col("y")) / 2, F.col("y") + F.col("spacing")) + F.col("drift"), "width": F.greatest(F.col("spacing") + F.col("base") * 2, F.lit(8.0))})
+        o = o.filter(~F.array_contains("full", F.col("kind")) & ((F.col("kind") != "quantity") | ~F.col("summary")))
+        near = _banded(o, "low", "high", "width").select("page", "kind", "__band", "low", "high", "drift", F.col("y").alias("oy"), "anchor_y", "quantity", "price", F.col("row").alias("owner"))
+        at = wanted.join(pages, "page", "left").withColumn("__band", F.floor(F.col("y") / F.greatest(F.col("spacing") + base * 2, F.lit(8.0))).cast("long")).select("page", "id", "kind", "x", "y", "value", "__band")
+        met = at.alias("a").join(near.alias("o"), (F.col("a.page") == F.col("o.page")) & (F.col("a.kind") == F.col("o.kind")) & (F.col("a.__band") == F.col("o.__band")) & (F.col("y") >= F.col("low")) & (F.col("y") < F.col("high")), "left")
+        kind = F.col("a.kind")
+        dy = F.abs(F.col("y") - F.when(kind == "quantity", F.col("anchor_y")).otherwise(F.col("oy"))) / F.greatest(F.lit(8.0), F.col("drift"))
+        fits = (kind == "total") & (F.abs(F.col("quantity") * F.col("price") - F.col("value")) <= F.greatest(F.lit(0.05), F.abs("value") * 0.01))
+        score = 48 - dy * 28 + F.when(kind == "quantity", F.greatest(F.lit(0.0), 12 - dy * 12)).when(fits, 8.0).otherwise(0.0)
+        found = met.select("a.page", "id", "a.kind", "x", "y", "value", F.when(F.col("owner").isNotNull(), F.struct("oy", "owner", score.alias("score"))).alias("c"))
         listed = found.groupBy("page", "id", "kind", "x", "y", "value").agg(F.sort_array(F.collect_list("c")).alias("c"))
         slots = F.transform("c", lambda s: F.struct(F.concat_ws("/", s["owner"].cast("string"), F.col("kind")).alias("slot"), s["score"].alias("score")))
-        none = F.array().cast("array<struct<slot:string,score:double>>")
-        return wanted.select("page", "id", "kind", "x", "y", "value").join(listed.select("page", "id", slots.alias("candidates")), ["page", "id"], "left").withColumn("candidates", F.coalesce("candidates", none))
+        return listed.select("page", "id", "kind", "x", "y", "value", slots.alias("candidates"))
 
     order = ["y", "x", "id"]
-    first = greedy(candidates(orphans.filter("kind <> 'total'"), anchored, [k for k in NUMERIC if k != "total"]), "page", order)
+    first = stored(greedy(candidates(orphans.filter("kind <> 'total'"), anchored), "page", order), "claims")
     # what came in counts when the totals are weighed
     came = first.filter("status = 'attached' AND kind IN ('quantity', 'price')").select("page", F.split_part("slot", F.lit("/"), F.lit(1)).alias("__row"), "kind", "value")
     came = came.groupBy("page", "__row").agg(F.max(F.when(F.col("kind") == "quantity", F.col("value"))).alias("__q"), F.max(F.when(F.col("kind") == "price", F.col("value"))).alias("__p"))
     later = anchored.withColumn("__row", F.col("row").cast("string")).join(came, ["page", "__row"], "left").withColumns({"quantity": F.coalesce("quantity", "__q"), "price": F.coalesce("__p", "price")}).drop("__row", "__q", "__p")
-    totals = greedy(candidates(orphans.filter("kind = 'total'"), later, ["total"]), "page", order)
+    totals = greedy(candidates(orphans.filter("kind = 'total'"), later), "page", order)
     return first.unionAll(totals).select("page", "id", "kind", "slot", "status")
 
 

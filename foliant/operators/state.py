@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def walk(events: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple], columns: list[str], out: str) -> DataFrame:
+def walk(events: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple], columns: list[str], out: str, spent: bool = False) -> DataFrame:
     """Adds to each event what ``step(state, row)`` returns, in order within the key. ``step`` gets the values of
-    ``columns`` and changes the state that ``start`` made for the key; ``out`` is the DDL of what it returns."""
+    ``columns`` and changes the state that ``start`` made for the key; ``out`` is the DDL of what it returns. ``columns`` that
+    are ``spent`` are left out of the result."""
     names = [x.split()[0] for x in out.split(",")]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -29,9 +30,10 @@ def walk(events: DataFrame, key: str, order: list[str], start: Callable[[], obje
                 if k != current:
                     current, state = k, start()
                 found.append(step(state, tuple(row)))
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+            rest = batch.drop(columns=columns) if spent else batch
+            yield pd.concat([rest.reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields if not (spent and f.name in columns))
     return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(task, f"{schema}, {out}")
 
 

@@ -125,3 +125,21 @@ def test_levels(spark):
         1: ("details_kept", ["detail", "detail"]), 2: ("summary_reconciles", ["summary", "summary"]), 3: ("additive_tables", ["detail", "summary"]), 4: ("totals_heading", ["detail"]),
         5: ("details_kept", ["detail"]), 6: ("no_repeated_words", ["detail", "summary"]), 7: ("single_item", ["only"]),
     }
+
+
+def test_amounts_as_they_are_parsed(spark):
+    from foliant.functions.money import parse_amount
+
+    texts = ["7", "12,50", "12.50", "1.234", "1.234,50", "1 234,50", "-3", "−3,00", "€ 5,00", "5,00 EUR", "12.05.2024", "1.2.20", "wooden", "", " ", None, "0", "007", "1,5", "12,500", "123456789012345", "1234567890123456789", "123456789012345,67", "3%", "3 pz", "٣", "1,00\n", "5,00 6,00"]
+    frame = spark.createDataFrame([(x,) for x in texts], "text string")
+    found = frame.select("text", C.is_amount(frame.text).alias("a"), parse_amount(frame.text)["value"].alias("b")).collect()
+    assert [(x.text, x.a) for x in found] == [(x.text, x.b) for x in found] and sum(x.a is None for x in found) < 15
+
+
+def test_amounts_are_read_once(spark):
+    """What claims are made of is a table, so texts are not parsed again for each use of a cell."""
+    pages = spark.createDataFrame([(1, 12.0, 100.0)], "page long, height double, spacing double")
+    cells = page((1, 100.0, 10.0, 100.0, "description", "wooden"), (None, None, 50.0, 108.0, "quantity", "3"), (None, None, 50.0, 108.0, "total", "3,00"))
+    found = C.reattach_cells(spark.createDataFrame([*cells, (None, 9, None, None, 1.0, 100.0, "price", "5,00"), (2, 10, None, None, 1.0, 100.0, "price", "5,00")], CELLS), pages)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(x.page, x.id): (x.slot, x.status) for x in found.collect()} == {(1, 1): ("1/quantity", "attached"), (1, 2): ("1/total", "attached"), (None, 9): (None, "none"), (2, 10): (None, "none")}
